@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from saltmarsh.llm.exact_dedup import LOWER, UPPER, exact_dedup
+from saltmarsh.llm.line_dedup import line_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -15,8 +16,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir), digest_all=True)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(_table(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_line_dedup": op5_line_dedup,
 }
 
 ORACLE_SQL = {
