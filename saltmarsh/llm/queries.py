@@ -2,16 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from saltmarsh.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from saltmarsh.llm.line_dedup import line_dedup
+from saltmarsh.llm.mixing import mix, mix_sql, word_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target shares of tokens. No source has more than a tenth, whatever it has in the corpus.
+MIX_SOURCES = {f"src{i}": 0.1 if i == 0 else 0.9 / 19 for i in range(20)}
+MIX_LANGS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
+MIX_TOPICS = {"legal": 0.05, "contact": 0.05, "code": 0.05, "prose": 0.85}
+MIX_FRACTION = 0.5
+
+
+def _topic() -> Column:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return (
+        F.when(text.contains("icensed under") | text.contains("opyright"), "legal")
+        .when(text.contains("@") | text.contains("+1 ("), "contact")
+        .when(text.contains(" = ") | text.contains("{"), "code")
+        .otherwise("prose")
+    )
+
+
+_TOPIC_SQL = """CASE WHEN contains(coalesce(text, ''), 'icensed under') OR contains(coalesce(text, ''), 'opyright') THEN 'legal'
+    WHEN contains(coalesce(text, ''), '@') OR contains(coalesce(text, ''), '+1 (') THEN 'contact'
+    WHEN contains(coalesce(text, ''), ' = ') OR contains(coalesce(text, ''), '{') THEN 'code' ELSE 'prose' END"""
+_BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS_SQL = f"""(CASE WHEN trim(coalesce(text, ''), {_BLANKS_SQL}) = '' THEN 0
+    ELSE len(regexp_split_to_array(trim(coalesce(text, ''), {_BLANKS_SQL}), '[\\x20\\x09-\\x0D]+')) END)::BIGINT"""
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """``docs`` mixed to the shares above."""
+    margins = {"source": (F.col("source"), MIX_SOURCES), "lang": (F.col("lang"), MIX_LANGS), "topic": (_topic(), MIX_TOPICS)}
+    return mix(docs, margins, MIX_FRACTION, word_count(F.col("text")))
+
+
+def mixed_sql(table: str) -> str:
+    return mix_sql(table, {"source": ("source", MIX_SOURCES), "lang": ("lang", MIX_LANGS), "topic": (_TOPIC_SQL, MIX_TOPICS)}, MIX_FRACTION, _WORDS_SQL)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(_table(spark, sf_dir))
+    return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_p", 6).alias("mix_p"), "mix_sampled")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir), digest_all=True)
 
@@ -21,11 +63,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_mixing": f"SELECT doc_id, mix_source, mix_lang, mix_topic, mix_tokens, round(mix_p, 6) AS mix_p, mix_sampled FROM ({mixed_sql('documents')})",
     "op4_exact_dedup": f"""
         WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{UPPER}', '{LOWER}')) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
