@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from saltmarsh.llm.line_dedup import line_dedup
 from saltmarsh.llm.mixing import mix, mix_sql, word_count
+from saltmarsh.llm.packing import pack_documents
+from saltmarsh.llm.scratch import new_path
+from saltmarsh.llm.token_counts import token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -54,6 +57,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_p", 6).alias("mix_p"), "mix_sampled")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache, so the run encodes every distinct text once."""
+    counts = token_counts(_table(spark, sf_dir), vocabulary(), new_path(spark, "token-cache"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir), vocabulary())
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir), digest_all=True)
 
@@ -64,8 +84,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op7_packing": op7_packing,
 }
 
 ORACLE_SQL = {
