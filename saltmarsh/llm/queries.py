@@ -10,6 +10,8 @@ from saltmarsh.llm.line_dedup import line_dedup
 from saltmarsh.llm.mixing import mix, mix_sql, word_count
 from saltmarsh.llm.packing import pack_documents
 from saltmarsh.llm.scratch import new_path
+from saltmarsh.llm.secret_scan import joined, scan_secrets
+from saltmarsh.llm.tiff import store_texts, tiff_pages
 from saltmarsh.llm.token_counts import token_counts
 
 
@@ -74,6 +76,30 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir), vocabulary())
 
 
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as TIFF pages of 64 columns, read back by the page decoder."""
+    pages = tiff_pages(store_texts(_table(spark, sf_dir)), keep=("doc_id", "n_bytes", "media"))
+    return pages.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = scan_secrets(_table(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", number("assign"), number("access"), number("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), number("random"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir), digest_all=True)
 
@@ -85,9 +111,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_tiff": op3_tiff,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 ORACLE_SQL = {
