@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.exact_dedup import LOWER, UPPER, exact_dedup
 from saltmarsh.llm.line_dedup import line_dedup
 from saltmarsh.llm.mixing import mix, mix_sql, word_count
+from saltmarsh.llm.ngram_join import ngram_join
 from saltmarsh.llm.packing import pack_documents
 from saltmarsh.llm.scratch import new_path
 from saltmarsh.llm.secret_scan import joined, scan_secrets
@@ -72,6 +73,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(_table(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir), vocabulary())
 
@@ -114,6 +119,7 @@ QUERIES = {
     "op3_tiff": op3_tiff,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
     "op9_secret_scan": op9_secret_scan,
 }
