@@ -40,8 +40,18 @@ def _power(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words ``[^\\x20\\x09-\\x0D]+`` begin in a byte array, and their hashes; A-Z count as a-z."""
+#: Kinds of bytes for ``parts_of``: letters and digits (with all that isn't ASCII), and signs.
+_KINDS = np.where(BLANK, 0, 2).astype(np.int8)
+_KINDS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_WORDS = np.where(BLANK, 0, 1).astype(np.int8)
+_CASED = mix((np.arange(256, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
+
+
+def word_hashes(data: np.ndarray, kinds: np.ndarray = _WORDS, values: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin in a byte array, and their hashes: longest runs of bytes of one kind other than 0.
+
+    By default words are ``[^\\x20\\x09-\\x0D]+`` and A-Z count as a-z.
+    """
     n = len(data)
     if n > 2 * STEP:
         blank = np.flatnonzero(BLANK[data])
@@ -53,28 +63,33 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             last = int(blank[k])
             cuts.append(last)
         if len(cuts) > 1:
-            parts = [word_hashes(data[a:b]) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
+            parts = [word_hashes(data[a:b], kinds, values) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
             return np.concatenate([s + c for c, (s, _) in zip(cuts, parts, strict=True)]), np.concatenate([h for _, h in parts])
-    word = np.zeros(n + 2, dtype=np.int8)
-    word[1:-1] = ~BLANK[data]
-    change = np.diff(word)
-    starts, ends = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    kind = np.zeros(n + 2, dtype=np.int8)
+    kind[1:-1] = kinds[data]
+    edge = kind[1:] != kind[:-1]
+    starts, ends = np.flatnonzero(edge & (kind[1:] != 0)), np.flatnonzero(edge & (kind[:-1] != 0))
     if not len(starts):
         return starts, np.zeros(0, dtype=_U)
     sums = np.zeros(n + 1, dtype=_U)
-    np.cumsum(_BYTES[data] * _power(BASE, n), out=sums[1:])
+    np.cumsum(values[data] * _power(BASE, n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power(pow(BASE, -1, 1 << 64), n)[starts]
     return starts, mix(hashes + (ends - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
-def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[bytes], kinds: np.ndarray = _WORDS, values: np.ndarray = _BYTES) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of ``texts`` in turn, and where each text's begin (one more at the end)."""
     joined = b"\n".join(texts)
-    starts, hashes = word_hashes(np.frombuffer(joined, np.uint8))
+    starts, hashes = word_hashes(np.frombuffer(joined, np.uint8), kinds, values)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.searchsorted(starts, begins)
 
 
+def parts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``words_of``, with case, and with signs as words apart from letters and digits."""
+    return words_of(texts, _KINDS, _CASED)
+
+
 def sequences(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` consecutive words."""
     out = hashes[: max(0, len(hashes) - n + 1)]

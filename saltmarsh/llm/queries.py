@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.exact_dedup import LOWER, UPPER, exact_dedup
+from saltmarsh.llm.langid import fit_languages, predict_languages
 from saltmarsh.llm.line_dedup import line_dedup
 from saltmarsh.llm.mixing import mix, mix_sql, word_count
 from saltmarsh.llm.ngram_join import ngram_join
 from saltmarsh.llm.packing import pack_documents
+from saltmarsh.llm.quality import classify_quality
 from saltmarsh.llm.scratch import new_path
 from saltmarsh.llm.secret_scan import joined, scan_secrets
 from saltmarsh.llm.tiff import store_texts, tiff_pages
@@ -96,6 +98,25 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _fold(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+def learns_language() -> Column:
+    """Documents that language ID learns from."""
+    return F.coalesce(_fold(3) != 1, F.lit(False))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir)
+    out = predict_languages(docs, fit_languages(docs, learns_language()))
+    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(_table(spark, sf_dir), _table(spark, sf_dir, "labels"), _fold(4) != 2)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -121,7 +142,9 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_packing": op7_packing,
+    "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
