@@ -39,47 +39,56 @@ def _half_keys(line: Column, length: Column) -> list[Column]:
     return keys
 
 
-def _blocks(lines: DataFrame, target: Column, extra: int) -> DataFrame:
-    """Rows of about sqrt(length) blocks for each line, for variants of ``target`` characters.
+def _blocks(lines: DataFrame, target: str, base: bool) -> DataFrame:
+    """About sqrt(length) blocks of each line, cut where a variant of ``target`` characters is cut.
 
-    A variant is hashed as hash(before), block, hash(after), so that all variants of
-    a line of n characters take about n * sqrt(n) steps. ``extra`` is 1 where one
-    character of the block goes, else 0.
+    ``base``: the line is the variant itself. Else a block has one character more than the
+    variant's, which a deletion in it takes away; what stands before and after is hashed
+    once for the block, so that all variants of n characters take about n * sqrt(n) steps.
+    Lines that are one edit apart, with the edit in this block, share ``_around``.
     """
-    sized = lines.withColumn("_m", target).withColumn("_b", F.greatest(F.lit(1), F.floor(F.sqrt("_m")).cast("int")))
+    extra = 0 if base else 1
+    sized = lines.withColumn("_m", F.expr(target)).withColumn("_b", F.greatest(F.lit(1), F.floor(F.sqrt("_m")).cast("int")))
     cut = "cast(floor(cast({j} as double) * _m / _b) as int)"
     low, high = cut.format(j="j"), cut.format(j="(j + 1)")
     made = sized.select(
         "_lid",
         "_first",
-        "_m",
         F.expr(
-            f"explode(transform(sequence(0, _b - 1), j -> named_struct('j', j, 'low', {low}, "
+            f"explode(transform(sequence(0, _b - 1), j -> named_struct('low', {low}, "
             f"'block', substring(_line, {low} + 1, {high} - {low} + {extra}), "
-            f"'before', xxhash64(substring(_line, 1, {low})), 'after', xxhash64(substring(_line, {high} + {extra} + 1)))))"
+            f"'around', xxhash64(_m, j, substring(_line, 1, {low}), substring(_line, {high} + {extra} + 1)))))"
         ).alias("_k"),
     )
-    return made.select("_lid", "_first", "_m", "_k.*")
+    return made.select("_lid", "_first", F.lit(base).alias("_base"), F.col("_k.low").alias("_low"), F.col("_k.block").alias("_block"), F.col("_k.around").alias("_around"))
 
 
-def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """Hashed keys of each line and of its variants with one character deleted: key, kind, base, line.
+def _shared(rows: DataFrame, keys: list[str], also=None) -> DataFrame:
+    """The rows of keys that several lines have, and by chance some others, which do no harm."""
+    ends = rows.groupBy(*keys).agg(F.min("_lid").alias("_from"), F.max("_lid").alias("_to"), F.bool_or("_base").alias("_any_base")).where("_from <> _to")
+    found = materialize((ends if also is None else ends.where(also)).select(*keys), "shared-keys")
+    slot = F.xxhash64(*keys)
+    return maybe_member(rows, filter_of(found, slot), slot, "_hit").where("_hit").drop("_hit")
+
+
+def _neighbourhood(blocks: DataFrame) -> DataFrame:
+    """Hashed keys of lines and of their variants with one character deleted: key, kind, base, line.
 
     kind ``sub``: the variant with the position of the deletion; lines that share one
     differ in that character only. kind ``gap``: the variant alone, and each line
     itself (``_base``); a variant equal to a line is one insertion away from it.
     """
-    deleted = _blocks(lines, F.col("_len") - 1, 1).select(
+    deleted = blocks.where("not _base").select(
         "_lid",
         "_first",
         F.expr(
-            "explode(transform(sequence(1, length(block)), i -> named_struct("
-            "'y', xxhash64(_m, j, before, concat(substring(block, 1, i - 1), substring(block, i + 1)), after), 'p', low + i)))"
+            "explode(transform(sequence(1, length(_block)), i -> named_struct("
+            "'y', xxhash64(_around, concat(substring(_block, 1, i - 1), substring(_block, i + 1))), 'p', _low + i)))"
         ).alias("_v"),
     )
-    deleted = deleted.select("_lid", "_first", F.explode(F.array(F.struct(F.xxhash64("_v.y", "_v.p").alias("key"), F.lit("sub").alias("kind")), F.struct(F.col("_v.y").alias("key"), F.lit("gap").alias("kind")))).alias("_r"))
-    deleted = deleted.select("_r.key", "_r.kind", F.lit(False).alias("_base"), "_lid", "_first")
-    whole = _blocks(lines, F.col("_len"), 0).select(F.xxhash64("_m", "j", "before", "block", "after").alias("key"), F.lit("gap").alias("kind"), F.lit(True).alias("_base"), "_lid", "_first")
+    both = F.array(F.struct(F.xxhash64("_v.y", "_v.p").alias("key"), F.lit("sub").alias("kind")), F.struct(F.col("_v.y").alias("key"), F.lit("gap").alias("kind")))
+    deleted = deleted.select("_lid", "_first", F.explode(both).alias("_r")).select("_r.key", "_r.kind", F.lit(False).alias("_base"), "_lid", "_first")
+    whole = blocks.where("_base").select(F.xxhash64("_around", "_block").alias("key"), F.lit("gap").alias("kind"), "_base", "_lid", "_first")
     return deleted.unionByName(whole)
 
 
@@ -94,17 +103,9 @@ def _near_lines(docs: DataFrame, text_col: str, id_col: str, distinct: DataFrame
     texts = found.groupBy("_h1", "_h2").agg(F.first("_line").alias("_line"), F.first("_len").alias("_len"))
     lines = materialize(texts.join(sharing, ["_h1", "_h2"]).select(F.col("_h1").alias("_lid"), "_first", "_line", "_len"), "near-lines")
 
-    around = _neighbourhood(lines)
-    keys = (
-        around.groupBy("key", "kind")
-        .agg(F.min("_lid").alias("_low"), F.max("_lid").alias("_high"), F.bool_or("_base").alias("_any_base"))
-        .where("_low <> _high and (kind = 'sub' or _any_base)")
-        .select("key", "kind")
-    )
-    keys = materialize(keys, "variants")
-    slot = F.xxhash64("key", "kind")
-    members = maybe_member(around, filter_of(keys, slot), slot, "_hit").where("_hit").drop("_hit").join(keys, ["key", "kind"])
-    members = materialize(members, "members")
+    blocks = _blocks(lines, "_len - 1", False).unionByName(_blocks(lines, "_len", True))
+    blocks = materialize(_shared(blocks, ["_around"]), "blocks")
+    members = materialize(_shared(_neighbourhood(blocks), ["key", "kind"], "kind = 'sub' or _any_base"), "members")
     ends = members.groupBy("key", "kind").agg(
         F.min(F.struct("_first", "_lid")).alias("_any"),
         F.min(F.when(F.col("_base"), F.struct("_first", "_lid"))).alias("_whole"),
@@ -129,9 +130,11 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     of a character comes earlier; whether the earlier one itself stays doesn't
     matter. Lines under ``near_min_chars`` characters only go for equal ones.
 
-    Method: all variants of a line with one character deleted, as hashed keys; lines
-    that share a variant are verified by edit distance. Only distinct lines that
-    share a half with another one, which any pair within one edit does, get variants.
+    Method: the variants of a line with one character deleted, as hashed keys; lines
+    that share a variant are verified by edit distance. A pair within one edit shares a
+    half, and all before and after the block that the edit is in: only distinct lines that
+    share a half with another one are looked at, and only blocks whose surroundings are
+    shared get variants. That drops no pair.
     Groups of equal keys yield one pair per line, with the earliest of the group.
 
     Returns the columns of ``docs`` with the text shortened, and ``n_lines``,
