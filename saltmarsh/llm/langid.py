@@ -164,13 +164,14 @@ def predict_languages(docs: DataFrame, model: tuple[list[str], float, np.ndarray
     langs, t, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    column = text_col if text_col in keep else "_text"
 
     def predict(batches):
         import pyarrow as pa
 
         for batch in batches:
             w = shared.value
-            for portion in in_portions(batch.column("_text")):
+            for portion in in_portions(batch.column(column)):
                 found, at, letters = ngrams([d for _, d in portion])
                 size = np.maximum(1, sum(sums_by(row >= 0, at) for row in found))
                 scores = np.zeros((len(portion), len(langs)))
@@ -184,4 +185,5 @@ def predict_languages(docs: DataFrame, model: tuple[list[str], float, np.ndarray
                 kept = [batch.column(c).slice(portion[0][0], len(portion)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.where(known, odds.max(axis=1), 0.0))], [*keep, "lang_pred", "score"])
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    source = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
+    return source.mapInArrow(predict, f"{schema}, lang_pred string, score double")
