@@ -1,13 +1,76 @@
-"""The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate removal, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all of ``docs``, the documents that the
+stage before it kept, and returns a DataFrame; all but the last return the columns of
+``docs``. ``ORACLE_SQL`` is None: SQL can't express the language model or the tokenizer.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from saltmarsh.llm.langid import UNKNOWN, fit_languages, predict_languages
+from saltmarsh.llm.line_dedup import line_dedup
+from saltmarsh.llm.ngram_join import ngram_join
+from saltmarsh.llm.packing import pack_documents
+from saltmarsh.llm.queries import learns_language, mixed, vocabulary
+from saltmarsh.llm.scratch import materialize
+from saltmarsh.llm.skew import filter_of, maybe_member
+
+#: Documents whose language is less sure than this go.
+LANGUAGE_LEAST = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those that no language fits; fills in a missing ``lang``."""
+    found = predict_languages(docs, fit_languages(docs, learns_language()), keep=tuple(docs.columns))
+    known = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LANGUAGE_LEAST))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes out lines that stand earlier in the corpus, and documents that have no other lines."""
+    out = line_dedup(docs).where("n_lines = 0 or n_dropped < n_lines")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays.
+
+    Texts whose id can't be one of those that go stay where they are; only the rest are shuffled.
+    """
+    groups = ngram_join(docs)
+    gone = materialize(groups.where("not (doc_id <=> component_id)").select("doc_id").distinct(), "near-duplicates")
+    slot = F.xxhash64("doc_id")
+    flagged = maybe_member(docs.select(F.struct("*").alias("_doc"), "doc_id"), filter_of(gone, slot), slot, "_hit")
+    stays = flagged.where("not _hit").select("_doc").unionByName(flagged.where("_hit").join(gone, "doc_id", "left_anti").select("_doc"))
+    return stays.select("_doc.*")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents so that their tokens have the target shares of sources, languages and topics."""
+    return mixed(docs).where("mix_sampled").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 tokens: a row for each piece."""
+    return pack_documents(docs, vocabulary())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
