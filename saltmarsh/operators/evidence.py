@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +103,6 @@ def features(value: str) -> list[int]:
 
 def features_column(value: Column) -> Column:
     """A struct of the features."""
-    import pandas as pd
 
     @F.pandas_udf("struct<" + ", ".join(f"{name}: long" for name in FEATURES) + ">")
     def run(values: pd.Series) -> pd.DataFrame:
@@ -113,7 +113,6 @@ def features_column(value: Column) -> Column:
 
 def excluded(value: Column) -> Column:
     """Whether a whole value stands for a credential instead of being one."""
-    import pandas as pd
 
     @F.pandas_udf("boolean")
     def run(values: pd.Series) -> pd.Series:

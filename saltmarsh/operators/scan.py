@@ -7,6 +7,7 @@ from bisect import bisect_left
 from dataclasses import dataclass, field
 from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,7 +207,6 @@ def detect(df: DataFrame, text_col: str = "text", config: ScanConfig = ScanConfi
     """
     config.active()
 
-    import pandas as pd
 
     @F.pandas_udf(f"struct<findings: {FINDINGS}, error: string>")
     def scan(texts: pd.Series) -> pd.DataFrame:
