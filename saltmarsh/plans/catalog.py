@@ -61,7 +61,8 @@ def sample_of(d: Detector) -> tuple[str, str]:
     f = d.formats[0]
     n = f.lengths[0]
     cls = f"[{ALPHABETS[f.alphabet]}]"
-    pattern = f.prefix.replace(".", "[.]") + cls + (f"{{{n},}}" if f.open == "+" else f"{{{n}}}")
+    several = "(?:" + "|".join(f"{cls}{{{k}}}" for k in sorted(f.lengths, reverse=True)) + ")"
+    pattern = f.prefix.replace(".", "[.]") + (several if len(f.lengths) > 1 else f"{cls}{{{n},}}" if f.open == "+" else f"{cls}{{{n}}}")
     return f"concat('{f.prefix}', {body_of(f.alphabet, n)})", pattern
 
 
@@ -122,7 +123,7 @@ STRUCTURED = {
     "connection-string": ("dsn postgresql://app:", hexes(20), "@db.internal:5432/main", "connection_string_password", "high", "structural"),
     "otpauth-uri": ("uri otpauth://totp/acme:joe?secret=", f"translate(upper({hexes(32)}), '0189', 'GHIJ')", "&issuer=acme", "otpauth_secret", "high", "structural"),
     "twilio-auth-token": ("twilio_auth_token = ", hexes(32), " end", "twilio_auth_token", "high", "provider"),
-    "datadog-api-key": ("datadog api_key = ", hexes(32), " end", "datadog_api_key", "high", "provider"),
+    "datadog-api-key": ("datadog_api_key = ", hexes(32), " end", "datadog_api_key", "high", "provider"),
     "mistral-api-key": ("mistral call with ", hexes(32), " end", "mistral_api_key", "medium", "provider"),
     "cohere-api-key": ("cohere call with ", hexes(40), " end", "cohere_api_key", "medium", "provider"),
     "heroku-api-key-legacy": ("heroku login ", UUID, " end", "heroku_api_key_legacy", "medium", "provider"),
@@ -203,8 +204,8 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _add(
     "action_policy",
-    lambda spark, d: _findings(spark, d).withColumn("_d", decide(parse_policy(POLICY_A), F.struct("*"))).select("o_orderkey", "type", "_d.action", "_d.basis", "_d.rule_index"),
-    f"SELECT o_orderkey, type, {_A} AS action, {_A_BASIS} AS basis, {_A_RULE} AS rule_index FROM ({_BASE})",
+    lambda spark, d: _findings(spark, d).withColumn("_d", decide(parse_policy(POLICY_A), F.struct("*"))).select("o_orderkey", "type", "_d.action", "_d.basis", F.coalesce("_d.rule_index", F.lit(-1)).alias("rule_index")),
+    f"SELECT o_orderkey, type, {_A} AS action, {_A_BASIS} AS basis, coalesce({_A_RULE}, -1) AS rule_index FROM ({_BASE})",
 )
 _add(
     "policy_rule_hits",
@@ -243,8 +244,9 @@ _add(
     "ruleset_names_documents",
     lambda spark, d: explode_findings(scan(_read(spark, d, "documents", "doc_id", "text"), config=ScanConfig(ruleset=RULESET)), "doc_id").where("detector = 'ruleset-names'").select("doc_id", "type", "confidence", F.col("end") - F.col("start")).toDF("doc_id", "type", "confidence", "n"),
     """WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(^|[\\s{,;"''\\[(?&#])token = "([0-9a-f]{40})"', 2)) AS v FROM documents),
-        c AS (SELECT doc_id, v, count(*) AS n FROM (SELECT doc_id, v, unnest(string_split(v, '')) AS ch FROM m) WHERE ch <> '' GROUP BY doc_id, v, ch)
-        SELECT doc_id, 'contextual_secret' AS type, 'medium' AS confidence, 40 AS n FROM (SELECT doc_id, v, -sum(n / 40.0 * log2(n / 40.0)) AS h FROM c GROUP BY doc_id, v) WHERE h >= 3.5""",
+        k AS (SELECT *, row_number() OVER () AS k FROM m),
+        c AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, k, unnest(string_split(v, '')) AS ch FROM k) WHERE ch <> '' GROUP BY doc_id, k, ch)
+        SELECT doc_id, 'contextual_secret' AS type, 'medium' AS confidence, 40 AS n FROM (SELECT doc_id, k, -sum(n / 40.0 * log2(n / 40.0)) AS h FROM c GROUP BY doc_id, k) WHERE h >= 3.5""",
 )
 
 # --- text functions --------------------------------------------------------
