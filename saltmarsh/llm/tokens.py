@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
+from itertools import accumulate, chain
 
 import numpy as np
 
-#: Chunks remembered in a worker; a full memory starts anew. About 60 MB.
-REMEMBERED = 300_000
+#: Chunks in each of the two generations that a worker remembers: 240 MB in all at most.
+REMEMBERED = 600_000
 #: Longer chunks, in bytes, aren't remembered.
 LONG = 48
 #: Texts are taken together up to so many bytes, so that misses go to the library in batches.
@@ -20,6 +22,24 @@ def version_of(path: str) -> str:
     with open(path, "rb") as f:
         return hashlib.sha256(f.read()).hexdigest()
 
+#: Letters below are lower-cased and composed alike by any version of Unicode.
+LATIN_END = "\u0250"
+#: How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from U+0100 on in order.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def shown_word(chunk: bytes) -> str | None:
+    """A chunk of Latin letters only, lower-cased, as the vocabulary writes it; None for others."""
+    if chunk.isalpha():
+        return chunk.decode() if chunk.islower() else None
+    if chunk.isascii():
+        return None
+    word = chunk.decode().lower()
+    return word.encode().decode("latin-1").translate(BYTE_SIGNS) if word.isalpha() and max(word) < LATIN_END else None
+
 
 class ChunkTokenizer:
     """Ids of whole texts, as ``tokenizers`` gives them without added special tokens.
@@ -37,35 +57,81 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
         self.library = Tokenizer.from_file(path)
-        self.memory: dict[bytes, bytes] = {}
+        #: The same model alone, for words that its normalizer and pre-tokenizer pass whole.
+        self.words = Tokenizer(self.library.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        vocabulary, suffix = self.library.get_vocab(), getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _chunks(self, data: bytes) -> list[bytes]:
         foldable = b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data
         return (data.lower() if foldable else data).split()
 
-    def _learn(self, unknown: set[bytes]) -> dict[bytes, bytes]:
-        chunks = list(unknown)
-        encoded = self.library.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        return {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(chunks, encoded, strict=True)}
+    def _encode(self, chunks: dict[bytes, str | None]) -> None:
+        """Words, given as the vocabulary writes them, go to the model at once, as one text; all else to the whole library."""
+        plain = [c for c, shown in chunks.items() if shown is not None]
+        others = [c for c, shown in chunks.items() if shown is None]
+        shown = [chunks[c] for c in plain]
+        if plain:
+            ids = array("I", self.words.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids)
+            data, cuts = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[np.asarray(ids)]) + 1)).tolist()]
+            if len(cuts) == len(plain) + 1 and cuts[-1] == len(data):
+                self.young.update(zip(plain, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            else:
+                others += plain
+        if others:
+            encoded = self.library.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
+            self.young.update(zip(others, [array("I", e.ids).tobytes() for e in encoded], strict=True))
+
+    def _recall(self, chunks: set[bytes]) -> list[bytes]:
+        """Brings chunks that the older generation has to the younger one; the others are returned."""
+        found = chunks & self.old.keys()
+        self.young.update(zip(found, map(self.old.__getitem__, found), strict=True))
+        return list(chunks - found)
+
+    def _learn(self, unknown: set[bytes]) -> None:
+        ended, rest = [], {}
+        for c in self._recall(unknown):
+            # signs after a word are a token of their own, or several
+            word = c.rstrip(SIGNS)
+            shown = shown_word(word) if word else None
+            if shown is None:
+                rest[c] = None
+                continue
+            rest[word] = shown
+            if word != c:
+                ended.append((c, word))
+                rest[c[len(word) :]] = None
+        new = self._recall(rest.keys() - self.young.keys())
+        self._encode({c: rest[c] for c in new})
+        for c, word in ended:
+            self.young[c] = self.young[word] + self.young[c[len(word) :]]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
         split = [self._chunks(t) for t in texts]
-        memory = self.memory
-        unknown = {c for chunks in split for c in chunks if c not in memory}
-        if unknown:
-            new = self._learn(unknown)
-            if len(memory) + len(new) > REMEMBERED:
-                needed = {c: memory[c] for chunks in split for c in chunks if c in memory}
-                memory.clear()
-                memory.update(needed)
-            memory.update(new)
-        out = [b"".join([memory[c] for c in chunks]) for chunks in split]
-        for c in unknown:
-            if len(c) > LONG:
-                del memory[c]
-        return out
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        chunks = list(chain.from_iterable(split))
+        found = list(map(self.young.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            unknown = {chunks[i] for i in missing}
+            self._learn(unknown)
+            for i in missing:
+                found[i] = self.young[chunks[i]]
+            for c in unknown:
+                if len(c) > LONG:
+                    del self.young[c]
+                    self.young.pop(c.rstrip(SIGNS), None)
+        at = list(accumulate(map(len, split), initial=0))
+        return [b"".join(found[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
 _loaded: dict[str, ChunkTokenizer] = {}
