@@ -27,8 +27,18 @@ LIST_SHARE = 4096
 NO_ID = -(1 << 63)
 #: Prefixes are lengthened by one of these less one.
 MULTIPLICITIES = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 63)
+#: A document asks for at least one common prefix shingle in so many of its shingles.
+SHINGLES_EACH = 25
+#: A verification costs as much as one posting for so many shingles.
+SHINGLES_A_POSTING = 16
+#: Lists of up to so many classes are paired by a join; longer ones are compared by blocks.
+PAIRED = 32
+#: Classes in a block.
+BLOCK = 1024
+#: Shingles that a block comparison holds at once.
+COLUMNS = 4096
 # What a posting's ``info`` holds, from the lowest bit: name -> bits.
-FIELDS = {"rank": 22, "n": 22, "ell": 6, "central": 5, "salt": 8}
+FIELDS = {"ell": 6, "central": 5, "salt": 8, "base": 1}
 
 
 def _field(name: str) -> Column:
@@ -83,17 +93,29 @@ def _signer():
     return sign
 
 
+def least_multiplicity(n: int) -> int:
+    """The common prefix shingles that any document of ``n`` shingles asks for at least; never fewer for more shingles."""
+    return max(m for m in MULTIPLICITIES if m <= max(1, n // SHINGLES_EACH))
+
+
+def _least_multiplicity(n: Column) -> Column:
+    out = F.lit(MULTIPLICITIES[0])
+    for m in MULTIPLICITIES[1:]:
+        out = F.when(F.floor(n / SHINGLES_EACH) >= m, m).otherwise(out)
+    return out
+
+
 def choose_multiplicity(costs: np.ndarray, n: int, base: int) -> int:
     """How many prefix shingles partners must share, by estimated cost.
 
     ``costs``: for each of a document's shingles in order, how many other documents are
     thought to have it. A prefix asking for m common shingles is m - 1 longer than
     ``base``. Its postings meet sum(costs) others; each document verified met m of them,
-    so there are sum / m at most, each costing as much as its shingles.
+    so there are sum / m at most, each costing by its shingles.
     """
-    options = [m for m in MULTIPLICITIES if base + m - 1 <= n]
+    options = [m for m in MULTIPLICITIES if base + m - 1 <= n and m >= least_multiplicity(n)]
     sums = np.cumsum(costs)
-    price = [sums[base + m - 2] * (1 + n / m) + (m - 1) for m in options]
+    price = [sums[base + m - 2] * (1 + n / m / SHINGLES_A_POSTING) + (m - 1) for m in options]
     return options[int(np.argmin(price))]
 
 
@@ -122,13 +144,12 @@ def _poster(frequent, percent: int):
                     order = np.lexsort((signed, level))
                     signed, level = signed[order], level[order]
                     base = n - -(-percent * n // 100) + 1
-                    ell = choose_multiplicity(np.exp2(level / 2) - 1, n, base) if level[-1] else 1
+                    ell = choose_multiplicity(np.exp2(level / 2) - 1, n, base) if level[-1] else least_multiplicity(n)
                     k = base + ell - 1
                     parts = np.minimum(np.ceil(np.exp2(level[:k] / 2) / LIST_SHARE), 255).astype(np.int64)
                     salt = np.where(parts > 1, 1 + (node & 0x7FFFFFFF) % parts, 0)
                     central = min(31, int(level.mean()))
-                    most = (1 << 22) - 1
-                    info = np.minimum(np.arange(k), most) | min(n, most) << int(shift[1]) | ell << int(shift[2]) | central << int(shift[3]) | salt << int(shift[4])
+                    info = ell | central << int(shift[1]) | salt << int(shift[2]) | (np.arange(k) < base).astype(np.int64) << int(shift[3])
                     out.append((signed[:k], np.full(k, node, np.int64), info))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["token", "node", "info"])
@@ -170,31 +191,125 @@ def _frequent(signed: DataFrame):
     return tokens[order], np.floor(2 * np.log2(np.maximum(n[order], 1))).astype(np.uint8)
 
 
-def _lists(docs: DataFrame, frequent, percent: int) -> DataFrame:
-    """Postings of shingles that several classes have in their prefixes, each with the list's leader.
+def _lists(docs: DataFrame, classes: DataFrame, frequent, percent: int) -> DataFrame:
+    """Postings (token, salt, node, n, ell, central) that can matter: of shingles that several classes have in
+    their prefixes, and of classes with enough such shingles for any partner.
 
-    The leader is the document whose shingles are the most frequent ones: of a group of
-    near copies the one that most others resemble.
+    A partner of a class of n shingles has at least percent * n / 100, and asks for at least what any
+    document of that size does.
     """
     postings = docs.select("_text").mapInArrow(_poster(frequent, percent), "token long, node long, info long")
-    postings = postings.select("token", _field("salt").alias("salt"), "node", "info")
-    order = W.partitionBy("token", "salt").orderBy(_field("central").desc(), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    led = postings.withColumns({"leader": F.first("node").over(order), "leader_n": F.first(_field("n")).over(order), "_low": F.min("node").over(order), "_high": F.max("node").over(order)})
-    return led.where("_low <> _high or salt > 0").select("token", "salt", "node", "info", "leader", "leader_n")
+    postings = postings.withColumn("salt", _field("salt"))
+    whole = W.partitionBy("token", "salt").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    several = postings.withColumns({"_low": F.min("node").over(whole), "_high": F.max("node").over(whole)}).where("_low <> _high or salt > 0")
+    several = materialize(several.select("token", "node", "info"), "postings")
+    met = several.groupBy("node").agg(F.count_distinct("token").alias("_k"))
+    enough = met.join(classes.select("node", "n"), "node").where(F.col("_k") >= _least_multiplicity(F.ceil(F.col("n") * percent / 100))).select("node", "n")
+    enough = materialize(enough, "open-classes")
+    slot = F.xxhash64("node")
+    kept = maybe_member(several, filter_of(enough, slot), slot, "_hit").where("_hit").join(enough, "node")
+    return kept.select("token", "node", "n", *[_field(f).alias(f) for f in FIELDS]).distinct()
 
 
 def _stars(posted: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each list's members with its leader; the leaders of a list in parts pair with the first of them."""
-    ends = posted.where("node <> leader").select("node", _field("n").alias("n"), F.col("leader").alias("to"), F.col("leader_n").alias("m"))
-    over = W.partitionBy("token").orderBy(_field("central").desc(), "node")
-    heads = posted.where("salt > 0 and node = leader").withColumns({"to": F.first("node").over(over), "m": F.first(_field("n")).over(over)})
-    ends = ends.unionByName(heads.where("node <> to").select("node", _field("n").alias("n"), "to", "m"))
-    return ends.where(_could_link(F.col("n"), F.col("m"), percent)).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
+    """Pairs (a, b) of each list's members with its leader; leaders of a list in parts pair with the first of them.
+
+    The leader is the document whose shingles are the most frequent ones: of a group of
+    near copies the one that most others resemble. Pairs must meet in as many lists as the
+    less demanding of the two asks for. Those that would meet elsewhere too come up again later.
+    """
+    order = W.partitionBy("token", "salt").orderBy(F.desc("central"), "node")
+    led = posted.withColumn("to", F.first(F.struct("node", "n", "ell")).over(order))
+    heads = led.where("salt > 0 and node = to.node").withColumn("to", F.first(F.struct("node", "n", "ell")).over(W.partitionBy("token").orderBy(F.desc("central"), "node")))
+    ends = led.unionByName(heads).where("node <> to.node").where(_could_link(F.col("n"), F.col("to.n"), percent))
+    pairs = ends.groupBy(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).agg(F.count(F.lit(1)).alias("_m"), F.min(F.least("ell", "to.ell")).alias("_need"))
+    return pairs.where("_m >= _need").select("a", "b")
 
 
 def _could_link(n: Column, m: Column, percent: int) -> Column:
-    """Set sizes that allow the similarity. (Sizes that ``info`` can't hold pass.)"""
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) | (F.least(n, m) >= (1 << 22) - 1)
+    """Set sizes that allow the similarity."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _sets(source: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The shingles of the classes in ``nodes``, from the texts of their representatives.
+
+    A bit filter picks the texts, so none is shuffled; chance hits and copies do no harm.
+    """
+    slot = F.xxhash64("_rep")
+    wanted = filter_of(nodes.join(classes.select("node", "_rep"), "node"), slot)
+    texts = maybe_member(source, wanted, F.xxhash64("_id"), "_hit").where("_hit").select("_text")
+    own = F.xxhash64("node")
+    found = texts.mapInArrow(_sets_of, "node long, shingles array<long>")
+    return materialize(maybe_member(found, filter_of(nodes, own), own, "_hit").where("_hit").drop("_hit"), "sets")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def block_links(nodes: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between side 0 and side 1 (or inside, if there is one side) that join different components: a forest.
+
+    Intersections of all are products of a 0/1 matrix of the shingles that several have.
+    """
+    values, where = np.unique(np.concatenate(sets), return_inverse=True)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(where) > 1
+    column = np.cumsum(often) - 1
+    keep = often[where]
+    rows, columns = rows[keep], column[where[keep]]
+    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == sides.max())
+    common = np.zeros((len(left), len(right)), dtype=np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for first in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(columns, (first, first + COLUMNS))
+        x = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        x[rows[a:b], columns[a:b] - first] = 1
+        common += x[left] @ x[right].T
+    n = np.array([len(s) for s in sets], dtype=np.float64)
+    union = n[left][:, None] + n[right][None, :] - common
+    close = 100.0 * common >= percent * union
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            root[c] = c = root.get(up, up)
+        return c
+
+    out = []
+    for i, j in zip(*(side.tolist() for side in np.nonzero(close & (comps[left][:, None] != comps[right][None, :]))), strict=True):
+        p, q = left[i], right[j]
+        c, d = find(int(comps[p])), find(int(comps[q]))
+        if c != d:
+            root[c] = d
+            out.append((int(nodes[p]), int(nodes[q])))
+    return out
+
+
+def _blockwise(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) in long lists (token, node, comp, _n): each pair of blocks is a group of its own.
+
+    A group has two blocks at most, whatever the list's length, and yields fewer links than it has classes.
+    """
+    parts = F.ceil(F.col("_n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
+    dealt = rows.select("token", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "node", "comp")
+    held = dealt.join(sets, "node")
+
+    def compare(table):
+        import pyarrow as pa
+
+        shingles = table.column("shingles").combine_chunks()
+        values, cuts = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+        split = [values[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        nodes, comps, sides = (table.column(c).to_numpy() for c in ("node", "comp", "side"))
+        found = block_links(nodes, comps, sides, split, percent) if len(split) > 1 and (comps != comps[0]).any() else []
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return held.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,13 +334,17 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
        counted once from here on.
     2. Shingles are ordered by frequency, rare ones first. A class posts a prefix of its
        shingles. For m common prefix shingles it is n - ceil(percent * n / 100) + m long, and
-       partners are sure to share min(m, m'); m is chosen by estimated cost.
-    3. In each list of classes posted under one shingle all pair with one leader, whose
-       likeness is verified on the whole sets; components follow.
-    4. Lists whose members are in several components now yield the pairs between these
-       that share enough prefix shingles, may reach the similarity by their sizes and
-       positions, and weren't verified. These are verified too. Pairs inside a component
-       can't change it, so no list is expanded to all its pairs.
+       partners are sure to share min(m, m'); m is chosen by estimated cost. Classes that
+       have too few shingles in common with any other are left out from here on.
+    3. In each list of classes posted under one shingle all pair with one leader. Pairs
+       that meet often enough are verified on the whole sets; components follow.
+    4. Lists whose members are in several components now are open. Short ones yield the
+       pairs between components that may reach the similarity by their sizes, share enough
+       prefix shingles (long lists count as shared) and weren't verified; these are verified
+       too. Of long lists only the prefixes for one common shingle are needed: they are cut
+       into blocks, and each two blocks compared whole in a task, by matrix products, which
+       yields a forest of links. Pairs inside a component can't change it, so no list is
+       expanded to all its pairs as rows.
 
     Shingles are known by 64-bit hashes. What goes to the driver: the frequent shingles, of
     which there are at most ``FREQUENT_MOST`` at any input size.
@@ -234,38 +353,36 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
     signed = materialize(source.mapInArrow(_signer(), "_id long, n long, node long, shingles array<long>, counts array<long>"), "signed")
     rows = signed.where("shingles is null").select("_id", "n", "node")
-    classes = rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("_copies"), F.min("_id").alias("_rep"), F.min(F.when(F.col("_id") != NO_ID, F.col("_id"))).alias("_least"))
+    classes = rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("_copies"), F.min("n").alias("n"), F.min("_id").alias("_rep"), F.min(F.when(F.col("_id") != NO_ID, F.col("_id"))).alias("_least"))
     classes = materialize(classes, "classes")
     frequent = spark.sparkContext.broadcast(_frequent(signed))
 
-    posted = materialize(_lists(source, frequent, percent), "lists")
-    size = _field("n")
+    posted = materialize(_lists(source, classes, frequent, percent), "lists")
     stars = materialize(_stars(posted, percent), "stars")
-    members = posted.select("node").distinct().join(classes, "node").select("_rep")
-    slot = F.xxhash64("_rep")
-    wanted = maybe_member(source, filter_of(members, slot), F.xxhash64("_id"), "_hit").where("_hit").select("_text")
-    sets = materialize(wanted.mapInArrow(_sets_of, "node long, shingles array<long>"), "sets")
-    links = materialize(_verified(stars, sets, percent), "verified")
+    links = materialize(_verified(stars, _sets(source, classes, _ends(stars)), percent), "verified")
     comps = components(links)
 
-    placed = posted.join(comps, "node", "left").select("token", "node", "info", F.coalesce("comp", "node").alias("comp"))
-    placed = materialize(placed.distinct(), "placed")
+    placed = materialize(posted.join(comps, "node", "left").select("token", "node", "n", "ell", "base", F.coalesce("comp", "node").alias("comp")), "placed")
     split = placed.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_from"), F.max("comp").alias("_to")).where("_from <> _to").select("token", "_n")
     split = materialize(split, "split")
-    open_ = join_group(placed, split, ["token"], "_n", placed.count(), "inner").select("token", "node", "comp", size.alias("n"), _field("rank").alias("rank"), _field("ell").alias("ell"))
-    open_ = materialize(open_, "open")
-    one = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "rank", "ell")])
-    two = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "rank", "ell")])
-    reach = F.least("rank_a", "rank_b") + F.least(F.col("n_a") - F.col("rank_a"), F.col("n_b") - F.col("rank_b"))
-    enough = (100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b"))
-    met = one.join(two, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & _could_link(F.col("n_a"), F.col("n_b"), percent) & (enough | (F.greatest("n_a", "n_b") >= (1 << 22) - 1)))
-    shared = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("_m"), F.first(F.least("ell_a", "ell_b")).alias("_need"))
-    pairs = shared.where("_m >= _need").join(stars, ["a", "b"], "left_anti").select("a", "b")
-    more = materialize(_verified(materialize(pairs, "pairs"), sets, percent), "verified")
+    open_ = materialize(join_group(placed, split, ["token"], "_n", placed.count(), "inner"), "open")
+    long_ = open_.where(F.col("_n") > PAIRED)
+    elsewhere = long_.groupBy("node").agg(F.count(F.lit(1)).alias("_g"))
+    short = open_.where(F.col("_n") <= PAIRED).join(elsewhere, "node", "left").withColumn("g", F.coalesce("_g", F.lit(0)))
+    short = materialize(short.select("token", "node", "comp", "n", "ell", "g"), "short")
+    one = short.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "ell", "g")])
+    two = short.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "ell", "g")])
+    met = one.join(two, "token").where((F.col("comp_a") != F.col("comp_b")) & (F.col("node_a") < F.col("node_b")) & _could_link(F.col("n_a"), F.col("n_b"), percent))
+    need = F.least("ell_a", "ell_b") - F.least("g_a", "g_b")
+    shared = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("_m"), F.min(need).alias("_need"))
+    pairs = materialize(shared.where("_m >= _need").join(stars, ["a", "b"], "left_anti").select("a", "b"), "pairs")
+    sets = _sets(source, classes, _ends(pairs).unionByName(long_.where("base = 1").select("node")).distinct())
+    more = _verified(pairs, sets, percent).unionByName(_blockwise(long_.where("base = 1"), sets, percent))
+    more = materialize(more, "verified")
     if more.take(1):
         comps = components(links.unionByName(more))
 
-    named = classes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = classes.select("node", "_copies", "_least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = materialize(named, "named")
     least = named.groupBy("comp").agg(F.min("_least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
     named = materialize(join_group(named, least, ["comp"], "_n", named.count(), "inner").select("node", "_copies", "component_id"), "labels")
