@@ -239,7 +239,7 @@ def name_strength(name: str, query: bool = False, extra: frozenset = frozenset()
 
 ASSIGNMENT = re.compile(
     rb"(?:^|(?<=[\s{,;\"'\[(?&#]))([A-Za-z][A-Za-z0-9_.-]*)(?:[\"']?\]?|\\[\"'])[ \t]*(?:=>|:=|[:=])[ \t]*"
-    rb"(?:\\?\"((?:[^\"\\\r\n]|\\.)*?)\\?\"|'((?:[^'\\\r\n]|\\.)*)'|([^\s\"'`,;{}()\[\]<>&#]+))",
+    rb"(?=\\?\"((?:[^\"\\\r\n]|\\.)*?)\\?\"|'((?:[^'\\\r\n]|\\.)*)'|([^\s\"'`,;{}()\[\]<>&#]+))",
     re.MULTILINE,
 )
 
@@ -256,8 +256,8 @@ def _assignments(data: bytes, extra: frozenset = frozenset()) -> Found:
         text = value.decode("utf-8", "replace")
         if not VALUE_LEAST <= len(value) <= VALUE_MOST or is_reference(text) or normalized(text) == name or k < 4 and is_variable_name(name, text):
             continue
-        if k == 4 and re.search(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)+$", text):
-            continue  # an attribute of an object, not a literal
+        if k == 4 and (data[m.end(k) : m.end(k) + 1] == b"(" or re.search(r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)+$", text)):
+            continue  # a call, or an attribute of an object: no literal
         bits = entropy(text)
         strong = len(value) >= STRONG_LEAST and bits >= STRONG_ENTROPY and not text.isdigit()
         if strength == 2:

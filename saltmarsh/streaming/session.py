@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -12,7 +14,7 @@ from saltmarsh.operators.policy import default_action
 from saltmarsh.operators.scan import ScanConfig, scanner
 
 OUT = "stream_id string, seq long, text string, state string, error string, findings long, replaced long"
-STATE = "seq long, kept string, state string, bytes long, findings long, replaced long"
+STATE = "seq long, kept string, state string, bytes long, findings long, replaced long, early string"
 CODES = ("SESSION_NOT_ACCEPTING", "INPUT_LIMIT", "BUFFER_LIMIT", "TIMEOUT")
 
 
@@ -99,23 +101,23 @@ class Session:
         return "", None
 
 
-def sanitize_stream(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits: SessionLimits = SessionLimits(), timeout: str = "10 minutes") -> DataFrame:
+def sanitize_stream(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits: SessionLimits = SessionLimits(), timeout: str | None = "10 minutes") -> DataFrame:
     """``chunks`` (stream_id, seq, chunk, op: append, finalize or abort) as sanitized output rows.
 
-    The state of a stream is its open tail and counters. Chunks of a micro-batch are put in
-    the order of ``seq``; one that isn't the next fails the stream, since text must not be
-    joined across a gap. A stream that is silent for ``timeout`` fails too, and gives up
-    what it holds without emitting it. The checkpoint holds plain text: keep it encrypted.
+    The state of a stream is its open tail, counters and chunks that came early. Chunks are
+    taken in the order of ``seq`` from 0; one that isn't the next waits for those before it,
+    within the limit on buffered text. A stream that is silent for ``timeout`` fails, and gives
+    up what it holds without emitting it (``None``: never). With a timeout Spark keeps running
+    batches to look for silent streams, so give such a query a processing-time trigger. The
+    checkpoint holds plain text: keep it encrypted.
     """
-    wait = int(re.match(r"\d+", timeout)[0]) * {"s": 1000, "m": 60_000, "h": 3_600_000}[timeout.split()[1][0]]
+    wait = int(re.match(r"\d+", timeout)[0]) * {"s": 1000, "m": 60_000, "h": 3_600_000}[timeout.split()[1][0]] if timeout else 0
 
     def step(key, batches, held: GroupState):
-        import pandas as pd
-
-        session = Session(config, limits)
-        following = 0
+        session, following, early = Session(config, limits), 0, {}
         if held.exists:
-            following, session.kept, session.state, session.bytes, session.findings, session.replaced = held.get
+            following, session.kept, session.state, session.bytes, session.findings, session.replaced, waiting = held.get
+            early = {int(k): v for k, v in json.loads(waiting).items()}
         rows = []
         row = lambda seq, text, error: rows.append((key[0], seq, text, session.state, error, session.findings, session.replaced))
         if held.hasTimedOut:
@@ -123,30 +125,27 @@ def sanitize_stream(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits
             row(following, "", CODES[3])
             held.remove()
         else:
-            # a list of frames holds one micro-batch of one stream
-            parts = [b for b in batches if len(b)]
-            frame = pd.concat(parts).sort_values("seq") if parts else pd.DataFrame(columns=["seq", "chunk", "op"])
-            for seq, chunk, op in zip(frame["seq"], frame["chunk"], frame["op"], strict=True):
-                if session.state == "accepting" and seq != following:
-                    text, error = session._fail("SEQUENCE_GAP")
-                else:
-                    text, error = session.append(chunk or "") if op == "append" else session.finish() if op == "finalize" else session.abort()
-                following = seq + 1
-                row(seq, text, error)
-            held.update((following, session.kept, session.state, session.bytes, session.findings, session.replaced))
-            if session.state == "accepting":
+            for frame in batches:
+                early.update({int(s): (c or "", o) for s, c, o in zip(frame["seq"], frame["chunk"], frame["op"], strict=True) if s >= following})
+            while following in early:
+                chunk, op = early.pop(following)
+                row(following, *(session.append(chunk) if op == "append" else session.finish() if op == "finalize" else session.abort()))
+                following += 1
+            if session.state == "accepting" and sum(len(c.encode()) for c, _ in early.values()) > limits.most_buffered:
+                row(following, *session._fail(CODES[2]))
+                early = {}
+            held.update((following, session.kept, session.state, session.bytes, session.findings, session.replaced, json.dumps(early)))
+            if wait and session.state == "accepting":
                 held.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "text", "state", "error", "findings", "replaced"])
 
-    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chunks.groupBy("stream_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
 
 
 def sanitize_batch(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits: SessionLimits = SessionLimits()) -> DataFrame:
     """The same for a table of chunks: one row for each stream with its whole sanitized text."""
 
     def run(frame):
-        import pandas as pd
-
         session, out, error = Session(config, limits), [], None
         for chunk, op in zip(*[frame.sort_values("seq")[c] for c in ("chunk", "op")], strict=True):
             text, failed = session.append(chunk or "") if op == "append" else session.finish() if op == "finalize" else session.abort()
