@@ -342,15 +342,15 @@ _add(
 
 def _configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _structured(spark, sf_dir)
-    both = [explode_findings(scan(texts, config=c), "o_orderkey") for c in (ScanConfig(exclude=("jwt",)), ScanConfig(exclude=("otpauth-uri", "doppler-token")))]
+    both = [explode_findings(scan(texts, config=c), "o_orderkey") for c in (ScanConfig(exclude=("jwt",)), ScanConfig(exclude=("sendgrid-token", "doppler-token")))]
     return compare.compare_configurations(both[0], both[1], "o_orderkey").select("o_orderkey", "start", "end", "n_base", "n_other", "relation", "changes")
 
 
 _add(
     "compare_configurations",
     _configurations,
-    f"""SELECT o_orderkey, start, "end", (detector <> 'jwt')::BIGINT AS n_base, (detector NOT IN ('otpauth-uri', 'doppler-token'))::BIGINT AS n_other,
-        CASE WHEN detector = 'jwt' THEN 'added' WHEN detector IN ('otpauth-uri', 'doppler-token') THEN 'removed' ELSE 'unchanged' END AS relation, '' AS changes FROM ({_structured_sql(FOUND)})""",
+    f"""SELECT o_orderkey, start, "end", (detector <> 'jwt')::BIGINT AS n_base, (detector NOT IN ('sendgrid-token', 'doppler-token'))::BIGINT AS n_other,
+        CASE WHEN detector = 'jwt' THEN 'added' WHEN detector IN ('sendgrid-token', 'doppler-token') THEN 'removed' ELSE 'unchanged' END AS relation, '' AS changes FROM ({_structured_sql(FOUND)})""",
 )
 _add(
     "request_numbering",
