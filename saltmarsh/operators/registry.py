@@ -64,7 +64,7 @@ notion-token; notion_integration_token; ; regex=(?:secret_[A-Za-z0-9]{43}|ntn_[0
 atlassian-api-token; atlassian_api_token; ; regex=ATAT[A-Za-z0-9_-]{100,}(?:=[0-9A-F]{8}(?![A-Za-z0-9_-]))?
 twilio-auth-token; twilio_auth_token; ; reader=twilio_auth
 twilio-api-key-secret; twilio_api_key_secret; ; reader=twilio_secret
-telegram-bot-token; telegram_bot_token; ; regex=[0-9]{5,}+:[A-Za-z0-9_-]{34,}; edge=; check=telegram
+telegram-bot-token; telegram_bot_token; ; regex=(?:(?<=/bot)|(?<![A-Za-z0-9_-]))[0-9]{5,}+:[A-Za-z0-9_-]{34,}; edge=; check=telegram
 discord-bot-token; discord_bot_token; ; reader=discord
 sentry-user-auth-token; sentry_user_auth_token; sntryu_ h64; edge=A-Za-z0-9_
 sentry-org-auth-token; sentry_org_auth_token; ; regex=sntrys_eyJ[A-Za-z0-9+/]{23,}={0,2}_[A-Za-z0-9+/]{43}

@@ -135,21 +135,81 @@ PEM_VALUE = f"concat('-----BEGIN PRIVATE KEY-----', chr(10), {hexes(64)}, chr(10
 STRUCTURED["private-key"] = ("pem ", PEM_VALUE, " end", "private_key", "high", "private_key")
 
 
-def _structured_text() -> str:
-    cases = " ".join(f"WHEN {k} THEN concat('{before}', {value}, '{after}')" for k, (before, value, after, *_) in enumerate(STRUCTURED.values()))
-    return f"CASE o_orderkey % {len(STRUCTURED)} {cases} END"
+BASE32 = "translate(upper({}), '0189', 'GHIJ')"
+SEVENS = ", '-', ".join(f"substr({hexes(32)}, {1 + 7 * k}, 7)" for k in range(4))
+
+
+def _key(value: str, kind: str, specificity: str = "provider") -> tuple:
+    return "key ", value, " end", kind, "high", specificity
+
+
+CHECKED = {
+    "aws-bedrock-long-term-api-key": _key(f"concat('ABSKQmVkcm9j', {hexes(110)})", "aws_bedrock_long_term_api_key"),
+    "slack-token": _key(f"concat('xapp-1-', {hexes(11)}, '-123456-', {hexes(32)})", "slack_app_level_token"),
+    "microsoft-entra-client-secret": _key(f"concat({hexes(3)}, '1Q~', {hexes(31)})", "microsoft_entra_client_secret"),
+    "azure-devops-personal-access-token": _key(f"concat({hexes(76)}, 'AZDO', {hexes(4)})", "azure_devops_personal_access_token"),
+    "notion-token": _key(f"concat('ntn_12345678901', {hexes(35)})", "notion_integration_token"),
+    "atlassian-api-token": _key(f"concat('ATAT', {hexes(100)})", "atlassian_api_token"),
+    "discord-bot-token": _key(f"concat({hexes(24)}, '.abcdef.', {hexes(27)})", "discord_bot_token"),
+    "sentry-org-auth-token": _key(f"concat('sntrys_eyJ', {hexes(30)}, '_', {hexes(43)})", "sentry_org_auth_token"),
+    "grafana-service-account-token": _key(f"concat('glsa_', {hexes(32)}, '_', {hexes(8)})", "grafana_service_account_token"),
+    "firebase-server-key": _key(f"concat('AAAA', {hexes(7)}, ':', {hexes(140)})", "firebase_server_key"),
+    "terraform-cloud-token": _key(f"concat({hexes(14)}, '.atlasv1.', {hexes(67)})", "terraform_cloud_token"),
+    "elevenlabs-api-key": _key(f"concat('sk_', {hexes(48)})", "elevenlabs_api_key"),
+    "langsmith-api-key": _key(f"concat('lsv2_pt_', {hexes(32)}, '_', {hexes(10)})", "langsmith_api_key"),
+    "firecrawl-api-key": _key(f"concat('fc-', {hexes(12)}, '4', {hexes(3)}, 'a', {hexes(15)})", "firecrawl_api_key"),
+    "composio-api-key": _key(f"concat('oak_', {hexes(20)})", "composio_org_api_key"),
+    "convex-deployment-key": _key(f"concat('prod:happy-cat-1|01', {hexes(74)})", "convex_deployment_key"),
+    "onepassword-service-account-token": _key(f"concat('ops_eyJ', {hexes(250)})", "onepassword_service_account_token"),
+    "resend-api-key": _key(f"concat('re_Ab', {hexes(6)}, '_', {hexes(24)})", "resend_api_key"),
+    "wandb-api-key": _key(f"concat('wandb_v1_', {hexes(64)})", "wandb_api_key"),
+    "clickhouse-cloud-api-secret": _key(f"concat('4b1dZ', {hexes(37)})", "clickhouse_cloud_api_secret"),
+    "bitwarden-secrets-manager-access-token": _key(f"concat('0.', {UUID}, '.', {hexes(30)}, ':', {hexes(22)}, '==')", "bitwarden_secrets_manager_access_token"),
+    "dynatrace-token": _key(f"concat('dt0c01.', {BASE32.format(hexes(24))}, '.', {BASE32.format(hexes(64))})", "dynatrace_token"),
+    "paddle-api-key": _key(f"concat('pdl_live_apikey_', {hexes(26)}, '_', {hexes(22)}, '_', {hexes(3)})", "paddle_api_key"),
+    "honeycomb-api-key": _key(f"concat('hcaik_', {hexes(58)})", "honeycomb_ingest_key"),
+    "axiom-token": _key(f"concat('xaat-', {UUID})", "axiom_api_token"),
+    "sourcegraph-token": _key(f"concat('sgp_', {hexes(40)})", "sourcegraph_access_token"),
+    "unkey-root-key": _key(f"concat('unkey_3Z', {body_of('S', 22)})", "unkey_root_key"),
+    "buildkite-token": _key(f"concat('bkua_', {hexes(40)})", "buildkite_api_access_token"),
+    "pydantic-logfire-token": _key(f"concat('pylf_v1_us_', {hexes(43)})", "pydantic_logfire_token"),
+    "mapbox-token": _key(f"concat('sk.eyJ', {hexes(30)}, '.', {hexes(22)})", "mapbox_secret_access_token"),
+    "fly-token": _key(f"concat('fm2_', {hexes(64)})", "fly_access_token"),
+    "ory-token": _key(f"concat('ory_at_', {hexes(43)}, '.', {hexes(43)})", "ory_oauth2_token"),
+    "baseten-api-key": _key(f"concat('b10_', {hexes(8)}, '.', {hexes(32)})", "baseten_api_key"),
+    "gitlab-runner-authentication-token": _key(f"concat('glrt-', {hexes(20)})", "gitlab_runner_authentication_token"),
+    "heroku-api-key": _key(f"concat('HRKU-', {UUID})", "heroku_api_key"),
+    "helicone-api-key": _key(f"concat('sk-helicone-', {SEVENS})", "helicone_api_key"),
+    "vercel-token": _key(f"concat('vcp_', {hexes(56)})", "vercel_personal_access_token"),
+    "okta-api-token": ("okta_token = ", f"concat('00', {hexes(40)})", " end", "okta_api_token", "high", "provider"),
+    "mailchimp-api-key": _key(f"concat({hexes(32)}, '-us12')", "mailchimp_api_key"),
+    "mailgun-api-key": ("mailgun_key = ", f"concat('key-', {hexes(32)})", " end", "mailgun_api_key", "high", "provider"),
+    "new-relic-license-key": _key(f"concat({hexes(32)}, 'FFFFNRAL')", "new_relic_license_key"),
+    "pinecone-api-key": _key(f"concat('pcsk_', {hexes(5)}, '_', {hexes(63)})", "pinecone_api_key"),
+    "confluent-cloud-api-secret-legacy": ("confluent value ", hexes(64), " end", "confluent_cloud_api_secret_legacy", "medium", "provider"),
+    "travisci-api-token": ("travis_token: ", f"concat('A1', {hexes(20)})", " end", "travisci_api_token", "high", "provider"),
+    "ai21-api-key": ("ai21 call with ", hexes(32), " end", "ai21_api_key", "medium", "provider"),
+    "deepgram-api-key": ("deepgram call with ", hexes(40), " end", "deepgram_api_key", "medium", "provider"),
+    "twilio-api-key-secret": ("twilio call with ", f"concat('Z', {hexes(31)})", " end", "twilio_api_key_secret", "medium", "provider"),
+    "datadog-application-key-legacy": ("dd_app_key = ", hexes(40), " end", "datadog_application_key_legacy", "high", "provider"),
+}
+
 
+def _structured_text(group: dict) -> str:
+    cases = " ".join(f"WHEN {k} THEN concat('{before}', {value}, '{after}')" for k, (before, value, after, *_) in enumerate(group.values()))
+    return f"CASE o_orderkey % {len(group)} {cases} END"
 
-def _structured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "orders", "o_orderkey").withColumn("text", F.expr(_structured_text()))
 
+def _structured(spark: SparkSession, sf_dir: str, group: dict = STRUCTURED) -> DataFrame:
+    return _read(spark, sf_dir, "orders", "o_orderkey").withColumn("text", F.expr(_structured_text(group)))
 
-def _structured_sql(columns: str) -> str:
+
+def _structured_sql(columns: str, group: dict = STRUCTURED) -> str:
     row = lambda k, d, v: (
         f"SELECT o_orderkey, concat('{v[0]}', {v[1]}, '{v[2]}') AS text, {v[1]} AS value, '{d}' AS detector, '{v[3]}' AS type, '{v[4]}' AS confidence, '{v[5]}' AS specificity, "
-        f"CASE WHEN '{v[3]}' = 'private_key' THEN 'block' WHEN '{v[4]}' = 'medium' THEN 'warn' ELSE 'redact' END AS action, length('{v[0]}')::INT AS start, (length('{v[0]}') + length({v[1]}))::INT AS \"end\" FROM orders WHERE o_orderkey % {len(STRUCTURED)} = {k}"
+        f"CASE WHEN '{v[3]}' = 'private_key' THEN 'block' WHEN '{v[4]}' = 'medium' THEN 'warn' ELSE 'redact' END AS action, length('{v[0]}')::INT AS start, (length('{v[0]}') + length({v[1]}))::INT AS \"end\" FROM orders WHERE o_orderkey % {len(group)} = {k}"
     )
-    union = " UNION ALL ".join(row(k, d, v) for k, (d, v) in enumerate(STRUCTURED.items()))
+    union = " UNION ALL ".join(row(k, d, v) for k, (d, v) in enumerate(group.items()))
     return f"SELECT {columns} FROM ({union})"
 
 
@@ -159,6 +219,13 @@ _add(
     lambda spark, d: explode_findings(scan(_structured(spark, d)), "o_orderkey").select("o_orderkey", "type", "detector", "confidence", "specificity", "action", "start", "end"),
     _structured_sql(FOUND),
 )
+for _k in range(0, len(CHECKED), 12):
+    _c = dict(list(CHECKED.items())[_k : _k + 12])
+    _add(
+        f"detect_checked_{_k // 12 + 1}",
+        lambda spark, d, c=_c: explode_findings(scan(_structured(spark, d, c)), "o_orderkey").select("o_orderkey", "type", "detector", "confidence", "specificity", "action", "start", "end"),
+        _structured_sql(FOUND, _c),
+    )
 _add(
     "redact_default",
     lambda spark, d: scan_and_redact(_structured(spark, d)).select("o_orderkey", "text", F.size("findings").alias("n")),
