@@ -24,8 +24,11 @@ SQL: dict[str, str] = {}
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table. A small one is a single split: its rows are dealt out, so that all cores take part."""
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _add(name: str, query, sql: str | None = None) -> None:
