@@ -271,5 +271,9 @@ def scan_and_redact(df: DataFrame, text_col: str = "text", config: ScanConfig =
 
 
 def explode_findings(df: DataFrame, *keys: str) -> DataFrame:
-    """A row for each finding with the ``keys`` of its text."""
-    return df.select(*keys, F.explode("findings").alias("_f")).select(*keys, "_f.*")
+    """A row for each finding with the ``keys`` of its text.
+
+    The outer form, then a filter: for the plain one Catalyst would add a filter on the array
+    below, and with it a second run of the detection.
+    """
+    return df.select(*keys, F.explode_outer("findings").alias("_f")).where("_f is not null").select(*keys, "_f.*")
