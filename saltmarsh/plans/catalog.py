@@ -18,6 +18,7 @@ from saltmarsh.operators import compare, evidence
 from saltmarsh.operators.policy import decide, default_action_column, parse_policy, rule_hits
 from saltmarsh.operators.registry import ALPHABETS, Detector, detectors
 from saltmarsh.operators.scan import ScanConfig, explode_findings, redact, scan, scan_and_redact
+from saltmarsh.sources.boundary import sanitize_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -494,6 +495,14 @@ def _streams(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("stream_sessions", _streams, "SELECT c_custkey::VARCHAR AS stream_id, concat('line one', chr(10), 'key <SECRET_1> end', chr(10), 'tail') AS text, 'finalized' AS state, 1::BIGINT AS findings FROM customer")
 
 
+_NESTED = f"concat('{{\"api_key\": \"', {hexes(32, 'c_custkey')}, '\", \"list\": [\"n ', cast(c_custkey as string), '\", null]}}')"
+_add(
+    "nested_values",
+    lambda spark, d: _read(spark, d, "customer", "c_custkey").select("c_custkey", sanitize_json(F.expr(_NESTED)).alias("s")).select("c_custkey", "s.outcome", "s.value", "s.findings"),
+    "SELECT c_custkey, 'ok' AS outcome, concat('{\"api_key\": \"<SECRET_1>\", \"list\": [\"n ', cast(c_custkey as string), '\", null]}') AS value, 1 AS findings FROM customer",
+)
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
