@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 OTHER = "(other)"
 #: The range of the hash that decides on a row: 52 bits.
 HASH_RANGE = 1 << 52
+#: Less than this, left of 1 by listed shares, is rounding and no share.
+NO_SHARE = 1e-9
 
 
 def word_count(text: Column) -> Column:
@@ -30,6 +32,11 @@ def _full(margins: dict[str, dict[str, float]]) -> dict[str, dict[str, float]]:
     return out
 
 
+def _leaves_nothing(shares: dict[str, float]) -> bool:
+    """Whether the shares give ``OTHER`` none: they don't name it and take all of 1."""
+    return OTHER not in shares and 1 - sum(shares.values()) < NO_SHARE
+
+
 def rake(cells: DataFrame, margins: dict[str, dict[str, float]], fraction: float, sweeps: int = 15, fills: int = 10) -> DataFrame:
     """Probabilities for ``cells``: one row for each combination of margin values, with its ``tokens``.
 
@@ -38,6 +45,10 @@ def rake(cells: DataFrame, margins: dict[str, dict[str, float]], fraction: float
     another. The weights' ratios to the natural shares are then scaled to keep
     ``fraction`` of all tokens: cells whose probability reaches 1 are filled and the
     rest scaled up again, ``fills`` times. Adds ``weight`` (its raked share) and ``p``.
+
+    Where a margin's listed shares take all of 1, ``OTHER`` has the share of the tokens
+    that it has in ``cells``, and the listed values divide the rest by their shares. If
+    no cell has a share above 0 in every margin, all probabilities are 0.
     """
     names = list(_full(margins))
     everything = W.partitionBy(F.lit(1))
@@ -50,13 +61,22 @@ def rake(cells: DataFrame, margins: dict[str, dict[str, float]], fraction: float
     for k, name in enumerate(names):
         now = now.withColumn(f"_n{k}", F.count(F.lit(1)).over(W.partitionBy(name)))
     for k in range(len(names)):
-        now = now.withColumn(f"_t{k}", F.col(f"_t{k}") / F.sum(F.col(f"_t{k}") / F.col(f"_n{k}")).over(everything))
+        total = F.sum(F.col(f"_t{k}") / F.col(f"_n{k}")).over(everything)
+        now = now.withColumn(f"_t{k}", F.when(total > 0, F.col(f"_t{k}") / total).otherwise(0.0))
+    # listed shares that leave nothing: the other values keep the share that they have
+    for k, (name, shares) in enumerate(margins.items()):
+        if _leaves_nothing(shares):
+            mass = lambda of: F.sum(F.when(of, F.col("_share")).otherwise(0.0)).over(everything)
+            other = F.col(name) == OTHER
+            listed = F.when(mass(other) > 0, F.col(f"_t{k}") * mass(~other)).otherwise(F.col(f"_t{k}"))
+            now = now.withColumn(f"_t{k}", F.when(other, mass(other)).otherwise(listed))
     now = now.withColumn("weight", F.col("_share"))
     for _ in range(sweeps):
         for k, name in enumerate(names):
             mass = F.sum("weight").over(W.partitionBy(name))
             now = now.withColumn("weight", F.when(mass > 0, F.col("weight") * F.col(f"_t{k}") / mass).otherwise(0.0))
-    now = now.withColumn("weight", F.col("weight") / F.sum("weight").over(everything))
+    total = F.sum("weight").over(everything)
+    now = now.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(0.0))
     now = now.withColumns({"_r": F.col("weight") / F.col("_share"), "_s": F.lit(float(fraction))})
     for _ in range(fills):
         filled = F.sum(F.when(F.col("_s") * F.col("_r") >= 1, F.col("_share")).otherwise(0.0)).over(everything)
@@ -70,6 +90,8 @@ def mix(docs: DataFrame, margins: dict[str, tuple[Column, dict[str, float]]], fr
 
     ``margins``: for each name an expression for a row's value and the target share of
     each value. Other values, and null, count as one class that has what is left of 1.
+    If nothing is left, it has the share of the tokens that it has in ``docs``, and the
+    listed values divide the rest; only a share of 0 that names it (``OTHER``) drops it.
     Tokens are summed by cell (a combination of values; combined before the shuffle),
     the cells raked, and the cells' probabilities broadcast: there are at most as many
     as the margins' sizes multiplied. No text is shuffled.
@@ -86,7 +108,7 @@ def mix(docs: DataFrame, margins: dict[str, tuple[Column, dict[str, float]]], fr
     classes = {f"mix_{k}": F.when(v[0].isin([x for x in shares[f"mix_{k}"] if x != OTHER]), v[0]).otherwise(F.lit(OTHER)) for k, v in margins.items()}
     tagged = docs.withColumns(classes | {"mix_tokens": tokens})
     cells = tagged.groupBy(*classes).agg(F.sum("mix_tokens").alias("tokens"))
-    raked = rake(cells, {k: shares[k] for k in classes}, fraction, sweeps).select(*classes, F.col("p").alias("mix_p"))
+    raked = rake(cells, {f"mix_{k}": v[1] for k, v in margins.items()}, fraction, sweeps).select(*classes, F.col("p").alias("mix_p"))
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
     draw = F.conv(digits, 16, 10).cast("double") / F.lit(float(HASH_RANGE))
     joined = tagged.join(F.broadcast(raked), list(classes), "left").withColumn("mix_p", F.coalesce("mix_p", F.lit(0.0)))
@@ -94,7 +116,10 @@ def mix(docs: DataFrame, margins: dict[str, tuple[Column, dict[str, float]]], fr
 
 
 def mix_sql(table: str, margins: dict[str, tuple[str, dict[str, float]]], fraction: float, tokens: str, seed: str = "mix", sweeps: int = 15, fills: int = 10) -> str:
-    """DuckDB SQL with the columns doc_id, mix_..., for a table with doc_id and what the expressions name."""
+    """DuckDB SQL with the columns doc_id, mix_..., for a table with doc_id and what the expressions name.
+
+    It equals ``mix`` where all values with tokens are listed or the listed shares leave some of 1.
+    """
     shares = _full({k: v[1] for k, v in margins.items()})
     names = [f"mix_{k}" for k in margins]
     lists = {k: ", ".join("'" + x + "'" for x in shares[k] if x != OTHER) for k in margins}

@@ -22,7 +22,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Target shares of tokens. No source has more than a tenth, whatever it has in the corpus.
+#: Target shares of tokens. No listed source has more than a tenth, whatever it has in the corpus;
+#: null and the values not listed keep the share that they have (``mixing.rake``).
 MIX_SOURCES = {f"src{i}": 0.1 if i == 0 else 0.9 / 19 for i in range(20)}
 MIX_LANGS = {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}
 MIX_TOPICS = {"legal": 0.05, "contact": 0.05, "code": 0.05, "prose": 0.85}

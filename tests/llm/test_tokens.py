@@ -15,7 +15,7 @@ import saltmarsh.llm.tokens as tokens
 from saltmarsh.llm import token_counts as counts_module
 from saltmarsh.llm.mixing import mix, word_count
 from saltmarsh.llm.packing import pack_documents, pack_lengths, slots_of
-from saltmarsh.llm.queries import vocabulary
+from saltmarsh.llm.queries import mixed, vocabulary
 from saltmarsh.llm.scratch import new_path
 from saltmarsh.llm.token_counts import token_counts
 
@@ -140,3 +140,42 @@ def test_mixing_of_nothing_and_of_empty_texts(spark):
     assert mix(df.limit(0), margins, 0.5, word_count(F.col("text"))).count() == 0
     with pytest.raises(ValueError):
         mix(df, {"source": (F.col("source"), {"x": -1.0})}, 0.5, F.lit(1))
+
+
+def _mixed_rows(spark, source, lang, n=400):
+    """Rows of 5 words by (doc_id, source, lang); ``source`` and ``lang`` give each row's value."""
+    rows = [(i, "some words of plain prose", lang(i), source(i)) for i in range(n)]
+    return {r.doc_id: r for r in mixed(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+
+
+@pytest.mark.parametrize("source, lang", [(None, None), ("web", "pt"), (None, "en"), ("src3", None), ("web", "en")])
+def test_production_shares_keep_tables_of_null_or_unlisted_values(spark, source, lang):
+    got = _mixed_rows(spark, lambda i: source, lambda i: lang)
+    assert {round(r.mix_p, 9) for r in got.values()} == {0.5}
+    assert 150 < sum(r.mix_sampled for r in got.values()) < 250
+
+
+def test_production_shares_keep_listed_values_that_meet_in_no_cell(spark):
+    got = _mixed_rows(spark, lambda i: "src1" if i % 2 else None, lambda i: "en" if i % 2 == 0 else "pt")
+    assert {round(r.mix_p, 9) for r in got.values()} == {0.5}
+
+
+def test_production_shares_leave_null_and_unlisted_values_their_share(spark):
+    rng = random.Random(6)
+    sources, langs = [rng.choices([None, "web", "src1", "src2"], [2, 1, 4, 3])[0] for _ in range(4000)], [rng.choices([None, "pt", "en", "fr"], [1, 1, 5, 3])[0] for _ in range(4000)]
+    got = _mixed_rows(spark, sources.__getitem__, langs.__getitem__, 4000).values()
+    assert all(r.mix_p > 0 for r in got)
+    expected = sum(r.mix_p for r in got)
+    assert abs(expected / 4000 - 0.5) < 0.001
+    for values, column, listed in ((sources, "mix_source", {"src1": 0.5, "src2": 0.5}), (langs, "mix_lang", {"en": 5 / 7, "fr": 2 / 7})):
+        other = sum(v not in listed for v in values) / 4000
+        for value, want in {"(other)": other, **{v: s * (1 - other) for v, s in listed.items()}}.items():
+            assert abs(sum(r.mix_p for r in got if r[column] == value) / expected - want) < 0.02
+
+
+def test_mixing_drops_others_only_by_a_share_that_names_them(spark):
+    df = spark.createDataFrame([(1, 5, "x", "q"), (2, 5, None, "z"), (3, 5, "y", None)], "doc_id long, n long, source string, lang string")
+    p = lambda margins: {r.doc_id: round(r.mix_p, 6) for r in mix(df, margins, 0.3, F.col("n")).collect()}
+    assert p({"source": (F.col("source"), {"x": 1.0, "(other)": 0.0})}) == {1: 0.9, 2: 0.0, 3: 0.0}
+    assert p({"source": (F.col("source"), {"w": 1.0, "(other)": 0.0})}) == {1: 0.0, 2: 0.0, 3: 0.0}
+    assert p({"source": (F.col("source"), {"x": 1.0, "(other)": 0.0}), "lang": (F.col("lang"), {"z": 1.0, "(other)": 0.0})}) == {1: 0.0, 2: 0.0, 3: 0.0}
