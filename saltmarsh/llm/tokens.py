@@ -128,7 +128,7 @@ class ChunkTokenizer:
                 found[i] = self.young[chunks[i]]
             for c in unknown:
                 if len(c) > LONG:
-                    del self.young[c]
+                    self.young.pop(c, None)
                     self.young.pop(c.rstrip(SIGNS), None)
         at = list(accumulate(map(len, split), initial=0))
         return [b"".join(found[a:b]) for a, b in zip(at, at[1:], strict=False)]

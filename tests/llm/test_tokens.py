@@ -179,3 +179,13 @@ def test_mixing_drops_others_only_by_a_share_that_names_them(spark):
     assert p({"source": (F.col("source"), {"x": 1.0, "(other)": 0.0})}) == {1: 0.9, 2: 0.0, 3: 0.0}
     assert p({"source": (F.col("source"), {"w": 1.0, "(other)": 0.0})}) == {1: 0.0, 2: 0.0, 3: 0.0}
     assert p({"source": (F.col("source"), {"x": 1.0, "(other)": 0.0}), "lang": (F.col("lang"), {"z": 1.0, "(other)": 0.0})}) == {1: 0.0, 2: 0.0, 3: 0.0}
+
+
+def test_long_chunks_bare_and_with_signs_in_one_portion():
+    urls = [f"https://example.org/{i:04d}/a/path/that/is/longer/than/what/is/remembered" for i in range(60)]
+    texts = [f"{u} {u}. {u}, word ({u}/) {u}" for u in urls]
+    own = tokens.ChunkTokenizer(vocabulary())
+    want = [struct.pack(f"<{len(ids)}I", *ids) for ids in (LIBRARY.encode(t, add_special_tokens=False).ids for t in texts)]
+    for _ in range(2):
+        assert own.ids([t.encode() for t in texts]) == want
+        assert max(map(len, own.young)) <= tokens.LONG
