@@ -16,7 +16,7 @@ from saltmarsh.llm.ngram_join import ngram_join
 from saltmarsh.llm.packing import pack_documents
 from saltmarsh.llm.queries import learns_language, mixed, vocabulary
 from saltmarsh.llm.scratch import materialize
-from saltmarsh.llm.skew import filter_of, maybe_member
+from saltmarsh.llm.skew import filter_of, join_group, maybe_member
 
 #: Documents whose language is less sure than this go.
 LANGUAGE_LEAST = 0.5
@@ -36,15 +36,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays.
+    """Of each group of linked documents exactly one row stays: the one with the smallest id.
 
-    Texts whose id can't be one of those that go stay where they are; only the rest are shuffled.
+    Rows are numbered and written first, and linked by number, so ids may be null (last)
+    or repeated: the hash of the text decides then, and of all columns, and the number
+    between rows that are alike in all. A document without words links with nothing and stays.
+    Texts whose number can't be one of those that go stay where they are; only the rest are shuffled.
     """
-    groups = ngram_join(docs)
-    gone = materialize(groups.where("not (doc_id <=> component_id)").select("doc_id").distinct(), "near-duplicates")
-    slot = F.xxhash64("doc_id")
-    flagged = maybe_member(docs.select(F.struct("*").alias("_doc"), "doc_id"), filter_of(gone, slot), slot, "_hit")
-    stays = flagged.where("not _hit").select("_doc").unionByName(flagged.where("_hit").join(gone, "doc_id", "left_anti").select("_doc"))
+    rows = materialize(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")), "numbered")
+    groups = ngram_join(rows.select(F.col("_doc.text").alias("text"), "_row"), id_col="_row")
+    rank = F.struct(F.col("_doc.doc_id").isNull().alias("_last"), F.col("_doc.doc_id").alias("_id"), F.xxhash64("_doc.text").alias("_th"), F.xxhash64("_doc").alias("_dh"), F.col("_row").alias("_at"))
+    ranked = materialize(groups.select("_row", "component_id").join(rows.select("_row", rank.alias("_rank")), "_row"), "ranked")
+    first = ranked.groupBy("component_id").agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    linked = join_group(ranked, materialize(first, "first-rows"), ["component_id"], "_n", ranked.count(), "inner")
+    gone = materialize(linked.where("_row <> _first._at").select("_row"), "near-duplicates")
+    slot = F.xxhash64("_row")
+    flagged = maybe_member(rows, filter_of(gone, slot), slot, "_hit")
+    stays = flagged.where("not _hit").select("_doc").unionByName(flagged.where("_hit").join(gone, "_row", "left_anti").select("_doc"))
     return stays.select("_doc.*")
 
 

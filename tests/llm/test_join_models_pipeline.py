@@ -145,3 +145,23 @@ def test_queries_equal_their_sql(spark, name):
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     assert sorted(map(repr, got[order].astype(str).values.tolist())) == sorted(map(repr, want[order].astype(str).values.tolist()))
+
+
+def test_near_duplicates_with_null_and_repeated_ids_leave_one_row_of_each_group(spark):
+    rng = random.Random(8)
+    text = {k: " ".join(f"{k}{rng.randrange(10**6)}" for _ in range(60)) for k in "abcdefg"}
+    near = {k: t + " tail" for k, t in text.items()}
+    rows = [(3, text["a"], "x"), (7, text["a"], "x"), (7, text["b"], "x")]
+    rows += [(None, text["c"], "x"), (None, text["c"], "x"), (None, near["c"], "x"), (None, near["a"], "x"), (None, text["d"], "x")]
+    rows += [(5, text["e"], "x"), (5, near["e"], "x"), (5, text["e"], "y"), (5, text["f"], "x"), (5, text["f"], "x"), (6, near["f"], "x")]
+    rows += [(7, text["g"], "x"), (9, None, "x"), (9, None, "x"), (None, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results = [sorted(map(repr, map(tuple, corpus_pipeline.drop_near_duplicates(spark, d, SMALL).collect()))) for d in (df, df.repartition(5).orderBy("source"))]
+    assert results[0] == results[1]
+    kept = results[0]
+    fixed = [(3, text["a"], "x"), (7, text["b"], "x"), (None, text["d"], "x"), (5, text["f"], "x"), (7, text["g"], "x"), (9, None, "x"), (9, None, "x"), (None, "", "x")]
+    for row in fixed:
+        assert kept.count(repr(row)) == fixed.count(row)
+    for options in ({(None, text["c"], "x"), (None, near["c"], "x")}, {(5, text["e"], "x"), (5, text["e"], "y"), (5, near["e"], "x")}):
+        assert sum(kept.count(repr(row)) for row in options) == 1
+    assert len(kept) == len(fixed) + 2
