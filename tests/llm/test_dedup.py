@@ -90,3 +90,23 @@ def test_line_dedup_equals_brute_force(spark, edits):
 def test_line_dedup_rejects_other_bounds(spark):
     with pytest.raises(ValueError):
         line_dedup(spark.createDataFrame([], "doc_id long, text string"), max_edits=2)
+
+
+def test_line_dedup_equals_brute_force_at_the_defaults(spark):
+    rng = random.Random(9)
+    alphabet = "abé "
+    base = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (1, 5, 12, 18, 19, 19, 19, 20, 20, 20, 21, 21, 22, 25, 30, 45, 80)]
+
+    def changed(line):
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            i, kind = rng.randrange(len(line) + 1), rng.random()
+            line = line[:i] + rng.choice(alphabet) + line[i + (kind < 0.5) :] if kind < 0.7 else line[:i] + line[i + 1 :]
+        return line
+
+    rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(5))) for i in range(80)]
+    lines = [((d, p), x.strip(" \t\r")) for d, t in rows for p, x in enumerate(t.split("\n")) if x.strip(" \t\r")]
+    near = lambda x, y: len(x) >= 20 and len(y) >= 20 and within_one(x, y)
+    gone = {k for i, (k, x) in enumerate(lines) if any(x == y or near(x, y) for _, y in lines[:i])}
+    assert any(x != y and within_one(x, y) and min(len(x), len(y)) == 19 for i, (k, x) in enumerate(lines) if k not in gone for _, y in lines[:i])
+    want = {d: "\n".join(x for p, x in enumerate(t.split("\n")) if (d, p) not in gone) for d, t in rows}
+    assert {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
