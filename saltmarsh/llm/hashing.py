@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 
+from saltmarsh.llm.worker import cache_of
+
 #: Bytes that are hashed together; longer texts are cut at white space.
-STEP = 1 << 20
+STEP = 1 << 18
 SHINGLE = 5
 
 _U = np.uint64
@@ -27,7 +29,7 @@ BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = mix((np.arange(256, dtype=_U) + _U(1)) * _U(0x9E3779B97F4A7C15))
 _BYTES[65:91] = _BYTES[97:123]
 BASE = 0xD6E8FEB86659FD93
-_powers: dict[int, np.ndarray] = {}
+_powers: dict[int, np.ndarray] = cache_of({}, "shingles", "quality")
 
 
 def _power(base: int, n: int) -> np.ndarray:

@@ -14,7 +14,10 @@ from saltmarsh.llm.hashing import shingle_sets
 from saltmarsh.llm.scratch import discard, materialize
 from saltmarsh.llm.skew import filter_of, join_group, maybe_member
 from saltmarsh.llm.tokens import in_portions
+from saltmarsh.llm.worker import task
 
+#: Classes that a task remembers to have met; beyond, it forgets them all, and those that recur come up again.
+MET = 1 << 17
 #: Shingles whose counts a task holds at once; those it saw once are dropped then.
 COUNTED = 1 << 21
 #: A shingle seen in fewer documents isn't frequent.
@@ -58,6 +61,7 @@ def _class_of(shingles: np.ndarray) -> int:
 def _signer():
     """Documents' set sizes and classes; and, in rows of their own, shingles that recur in a task with their counts."""
 
+    @task("shingles")
     def sign(batches):
         import pyarrow as pa
 
@@ -76,6 +80,8 @@ def _signer():
             for portion in in_portions(batch.column("_text")):
                 sets = shingle_sets([data for _, data in portion])
                 nodes = [_class_of(s) if len(s) else None for s in sets]
+                if len(seen) > MET:
+                    seen.clear()
                 for node, s in zip(nodes, sets, strict=True):
                     if node is not None and node not in seen:
                         seen.add(node)
@@ -122,6 +128,7 @@ def choose_multiplicity(costs: np.ndarray, n: int, base: int) -> int:
 def _poster(frequent, percent: int):
     """Postings (token, node, info) of each document's prefix."""
 
+    @task("shingles")
     def post(batches):
         import pyarrow as pa
 
@@ -131,6 +138,8 @@ def _poster(frequent, percent: int):
         for batch in batches:
             for portion in in_portions(batch.column("_text")):
                 out = []
+                if len(seen) > MET:
+                    seen.clear()
                 for s in shingle_sets([data for _, data in portion]):
                     n = len(s)
                     if not n or (node := _class_of(s)) in seen:
@@ -157,6 +166,7 @@ def _poster(frequent, percent: int):
     return post
 
 
+@task("shingles")
 def _sets_of(batches):
     """Each class's shingles, once in a task."""
     import pyarrow as pa
@@ -165,6 +175,8 @@ def _sets_of(batches):
     for batch in batches:
         for portion in in_portions(batch.column("_text")):
             rows = []
+            if len(seen) > MET:
+                seen.clear()
             for s in shingle_sets([data for _, data in portion]):
                 if len(s) and (node := _class_of(s)) not in seen:
                     seen.add(node)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from saltmarsh.llm.scratch import materialize
 from saltmarsh.llm.tokens import in_portions, tokenizer
+from saltmarsh.llm.worker import task
 
 #: Pieces of one length are numbered in groups of about 1 in so many of all pieces, so
 #: no task numbers more than that of one length; there are at most so many groups and
@@ -124,6 +125,7 @@ def slots_of(made: list[tuple[tuple[int, ...], int]]) -> Slots:
 
 
 def _cutter(path: str, capacity: int, end_id: int):
+    @task("tokens")
     def cut(batches):
         import zlib
 
@@ -176,6 +178,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     slots = slots_of(pack_lengths(counts, capacity))
     names = pieces.columns
 
+    @task("places")
     def place(batches):
         import pyarrow as pa
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.ftrl import Ftrl, probabilities
 from saltmarsh.llm.hashing import mix, parts_of
 from saltmarsh.llm.tokens import in_portions
+from saltmarsh.llm.worker import task
 
 BITS = 18
 #: At most so many labelled rows are learned from.
@@ -46,6 +47,7 @@ def _spans(at: np.ndarray):
 
 
 def _trainer(alpha: float, l1: float, l2: float):
+    @task("quality")
     def train(batches):
         import pyarrow as pa
 
@@ -56,13 +58,13 @@ def _trainer(alpha: float, l1: float, l2: float):
                 found, at = features([d for _, d in portion])
                 for (i, _), a, b in zip(portion, *_spans(at), strict=True):
                     places, counts = np.unique(found[a:b], return_counts=True)
-                    examples.append((keys[i], labels[i], places, counts * (SCALE / max(1, b - a))))
+                    examples.append((keys[i], labels[i], places.astype(np.int32), counts.astype(np.int32), b - a))
         examples.sort(key=lambda e: (e[0] is None, e[0], e[1], len(e[2])))
         model, order = Ftrl(1 << BITS, 1, alpha, l1=l1, l2=l2), np.random.default_rng(7)
         for _ in range(EPOCHS):
             for i in order.permutation(len(examples)):
-                _, label, places, values = examples[i]
-                model.learn(places, values, label)
+                _, label, places, counts, n = examples[i]
+                model.learn(places, counts * (SCALE / max(1, n)), label)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights()[0].astype("<f4").tobytes()], pa.binary())], ["weights"])
 
     return train
@@ -88,6 +90,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
+    @task("quality")
     def score(batches):
         import pyarrow as pa
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.tokens import in_portions
+from saltmarsh.llm.worker import cache_of, task
 
 # The base patterns and the lengths that their matches need.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -33,7 +34,7 @@ IDENTIFIER = re.compile(rb"[/_=+-]*[A-Za-z]*[0-9]{0,4}([/_=+-]+([A-Za-z]+[0-9]{0
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
-_encoders: dict = {}
+_encoders: dict = cache_of({}, "secrets")
 
 
 def _encoder(path: str, pattern: str):
@@ -105,6 +106,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str, most: float = 2
     id. No shuffle; a worker holds one batch of texts at a time.
     """
 
+    @task("secrets")
     def scan(batches):
         import pyarrow as pa
 

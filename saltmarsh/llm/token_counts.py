@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.scratch import _path, materialize
 from saltmarsh.llm.skew import join_group
 from saltmarsh.llm.tokens import in_portions, tokenizer, version_of
+from saltmarsh.llm.worker import task
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Stands for a null id where rows are matched by id.
@@ -29,6 +30,7 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
 
 
 def _encoder(path: str):
+    @task("tokens")
     def encode(batches):
         import pyarrow as pa
 

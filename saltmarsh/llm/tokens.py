@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from array import array
 from itertools import accumulate, chain
 
 import numpy as np
 
-#: Chunks in each of the two generations that a worker remembers: 240 MB in all at most.
-REMEMBERED = 600_000
+from saltmarsh.llm.worker import cache_of
+
+#: Bytes of chunks and their ids, in each of the two generations that a worker remembers, with what Python adds for each.
+REMEMBERED = 32 << 20
+EACH = 160
 #: Longer chunks, in bytes, aren't remembered.
 LONG = 48
 #: Texts are taken together up to so many bytes, so that misses go to the library in batches.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
+#: Longer texts, in bytes, are cut at white space.
+CUT = 1 << 20
 
 
 def version_of(path: str) -> str:
@@ -41,6 +47,18 @@ def shown_word(chunk: bytes) -> str | None:
     return word.encode().decode("latin-1").translate(BYTE_SIGNS) if word.isalpha() and max(word) < LATIN_END else None
 
 
+BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def cut_at_blanks(data: bytes, size: int):
+    """Parts of ``data`` of ``size`` bytes or a little more: each but the last ends before ASCII white space."""
+    at = 0
+    while len(data) - at > size and (blank := BLANK.search(data, at + size)):
+        yield data[at : blank.start()]
+        at = blank.start()
+    yield data[at:]
+
+
 class ChunkTokenizer:
     """Ids of whole texts, as ``tokenizers`` gives them without added special tokens.
 
@@ -68,6 +86,17 @@ class ChunkTokenizer:
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the younger generation
+
+    def _remember(self, chunks, ids) -> None:
+        before = len(self.young)
+        self.young.update(zip(chunks, ids, strict=True))
+        self.held += EACH * (len(self.young) - before) + sum(map(len, chunks)) + sum(map(len, ids))
+
+    def _forget(self, chunk: bytes) -> None:
+        ids = self.young.pop(chunk, None)
+        if ids is not None:
+            self.held -= EACH + len(chunk) + len(ids)
 
     def _chunks(self, data: bytes) -> list[bytes]:
         foldable = b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data
@@ -82,17 +111,17 @@ class ChunkTokenizer:
             ids = array("I", self.words.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids)
             data, cuts = ids.tobytes(), [0, *(4 * (np.flatnonzero(self.ends[np.asarray(ids)]) + 1)).tolist()]
             if len(cuts) == len(plain) + 1 and cuts[-1] == len(data):
-                self.young.update(zip(plain, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+                self._remember(plain, [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
             else:
                 others += plain
         if others:
             encoded = self.library.encode_batch_fast([c.decode() for c in others], add_special_tokens=False)
-            self.young.update(zip(others, [array("I", e.ids).tobytes() for e in encoded], strict=True))
+            self._remember(others, [array("I", e.ids).tobytes() for e in encoded])
 
     def _recall(self, chunks: set[bytes]) -> list[bytes]:
         """Brings chunks that the older generation has to the younger one; the others are returned."""
         found = chunks & self.old.keys()
-        self.young.update(zip(found, map(self.old.__getitem__, found), strict=True))
+        self._remember(found, list(map(self.old.__getitem__, found)))
         return list(chunks - found)
 
     def _learn(self, unknown: set[bytes]) -> None:
@@ -110,14 +139,19 @@ class ChunkTokenizer:
                 rest[c[len(word) :]] = None
         new = self._recall(rest.keys() - self.young.keys())
         self._encode({c: rest[c] for c in new})
-        for c, word in ended:
-            self.young[c] = self.young[word] + self.young[c[len(word) :]]
+        if ended:
+            self._remember([c for c, _ in ended], [self.young[word] + self.young[c[len(word) :]] for c, word in ended])
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """For each UTF-8 text its ids as little-endian unsigned 32-bit integers."""
+        if any(len(t) > CUT for t in texts):
+            return [self._ids([t])[0] if len(t) <= CUT else b"".join(self._ids([part])[0] for part in cut_at_blanks(t, CUT)) for t in texts]
+        return self._ids(texts)
+
+    def _ids(self, texts: list[bytes]) -> list[bytes]:
         split = [self._chunks(t) for t in texts]
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        if self.held > REMEMBERED:
+            self.old, self.young, self.held = self.young, {}, 0
         chunks = list(chain.from_iterable(split))
         found = list(map(self.young.get, chunks))
         missing = [i for i, ids in enumerate(found) if ids is None]
@@ -128,13 +162,13 @@ class ChunkTokenizer:
                 found[i] = self.young[chunks[i]]
             for c in unknown:
                 if len(c) > LONG:
-                    self.young.pop(c, None)
-                    self.young.pop(c.rstrip(SIGNS), None)
+                    self._forget(c)
+                    self._forget(c.rstrip(SIGNS))
         at = list(accumulate(map(len, split), initial=0))
         return [b"".join(found[a:b]) for a, b in zip(at, at[1:], strict=False)]
 
 
-_loaded: dict[str, ChunkTokenizer] = {}
+_loaded: dict[str, ChunkTokenizer] = cache_of({}, "tokens")
 
 
 def tokenizer(path: str) -> ChunkTokenizer:
