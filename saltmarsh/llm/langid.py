@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.ftrl import Ftrl, probabilities, sums_by
 from saltmarsh.llm.hashing import mix
 from saltmarsh.llm.quality import sampled
+from saltmarsh.llm.scratch import fresh
 from saltmarsh.llm.tokens import in_portions
 from saltmarsh.llm.worker import cache_of, task
 
@@ -215,16 +216,18 @@ def fit_languages(docs: DataFrame, learn: Column, text_col: str = "text", id_col
     return langs, row[0].temperature, weights.astype(np.float32)
 
 
-def predict_languages(docs: DataFrame, model: tuple[list[str], float, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, ``lang_pred`` and ``score``, its calibrated probability, for each row.
+def predict_languages(docs: DataFrame, model: tuple[list[str], float, np.ndarray], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` and ``names``: the language and its calibrated probability, for each row.
 
     ``und`` with score 0 for a text that is null or has no letter, and for any if no
-    language was learned. No shuffle.
+    language was learned. Equal scores: the language that sorts first. Repeated rows each get
+    theirs. Columns of ``keep`` with one of ``names`` are replaced. No shuffle.
     """
     langs, t, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
+    keep = tuple(c for c in keep if c not in names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    column = text_col if text_col in keep else "_text"
+    column = text_col if text_col in keep else fresh("_text", keep)
 
     @task("language")
     def predict(batches):
@@ -247,9 +250,9 @@ def predict_languages(docs: DataFrame, model: tuple[list[str], float, np.ndarray
                 known = (letters > 0) & (len(langs) > 0)
                 odds = probabilities(scores / t) if len(langs) > 1 else np.ones((n, max(1, len(langs))))
                 best = odds.argmax(axis=1)
-                names = [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+                best_names = [langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 kept = [batch.column(c).slice(portion[0][0], n) for c in keep]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(np.where(known, odds.max(axis=1), 0.0))], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(best_names, pa.string()), pa.array(np.where(known, odds.max(axis=1), 0.0))], [*keep, *names])
 
-    source = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias("_text"))
-    return source.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    source = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).alias(column))
+    return source.mapInArrow(predict, ", ".join([*([schema] if schema else []), f"`{names[0]}` string", f"`{names[1]}` double"]))

@@ -121,14 +121,15 @@ def _near_lines(docs: DataFrame, text_col: str, id_col: str, distinct: DataFrame
     return checked.select(F.col("_lid").alias("_h1")).distinct()
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_edits: int = 1, near_min_chars: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_edits: int = 1, near_min_chars: int = 0, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` without the lines that stand earlier in the corpus, equal or within ``max_edits`` edits.
 
     Lines are compared without blanks at their ends. Their order is that of
     (id, hash of the text, position). A line goes if an equal line comes earlier, or
     if ``max_edits`` is 1 and a line within one insertion, deletion or substitution
     of a character comes earlier; whether the earlier one itself stays doesn't
-    matter. Lines under ``near_min_chars`` characters only go for equal ones.
+    matter. Lines of any length are compared; with ``near_min_chars`` those under so many
+    characters only go for equal ones.
 
     Method: the variants of a line with one character deleted, as hashed keys; lines
     that share a variant are verified by edit distance. A pair within one edit shares a
@@ -137,11 +138,10 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     shared get variants. That drops no pair.
     Groups of equal keys yield one pair per line, with the earliest of the group.
 
-    Returns the columns of ``docs`` with the text shortened, and ``n_lines``,
-    ``n_dropped`` (of lines that aren't blank). Blank lines stay. A null text stays
+    Returns the columns of ``docs`` with the text shortened, and ``counts``: ``n_lines`` and
+    ``n_dropped`` (of lines that aren't blank), which replace columns of these names. Blank lines stay. A null text stays
     null, with no lines. A null id comes after all others. Rows that repeat both id
-    and text count as one document, and each gets its result. Columns of ``docs``
-    may have any names but those two.
+    and text count as one document, and each gets its result. An empty table gives no rows.
     """
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
@@ -174,13 +174,13 @@ def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     text = F.col("_doc").getField(text_col)
     out = touched.unionByName(untouched).withColumn("_all", F.split(text, "\n"))
     shorter = F.expr("array_join(transform(array_except(sequence(0, size(_all) - 1), _drop), i -> _all[i]), '\n')")
-    others = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c != text_col]
+    others = [F.col("_doc").getField(c).alias(c) for c in docs.columns if c != text_col and c not in counts]
     result = out.select(
         *others,
         F.when(F.col("_drop").isNull(), text).otherwise(shorter).alias(text_col),
-        F.when(text.isNull(), 0).otherwise(F.size(F.filter("_all", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(text.isNull(), 0).otherwise(F.size(F.filter("_all", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))).cast("long").alias(counts[0]),
+        F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias(counts[1]),
     )
     discard(distinct)
     discard(occurrences)
-    return result.select(*docs.columns, "n_lines", "n_dropped")
+    return result.select(*[c for c in docs.columns if c not in counts], *counts)

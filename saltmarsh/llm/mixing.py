@@ -102,17 +102,18 @@ def mix(docs: DataFrame, margins: dict[str, tuple[Column, dict[str, float]]], fr
     unless their cell has tokens of other rows. An empty table gives no rows.
 
     Returns the columns of ``docs``, then ``mix_<name>`` for each margin,
-    ``mix_tokens``, ``mix_p`` and ``mix_sampled``.
+    ``mix_tokens``, ``mix_p`` and ``mix_sampled``, which replace columns of these names.
     """
     shares = _full({f"mix_{k}": v[1] for k, v in margins.items()})
     classes = {f"mix_{k}": F.when(v[0].isin([x for x in shares[f"mix_{k}"] if x != OTHER]), v[0]).otherwise(F.lit(OTHER)) for k, v in margins.items()}
-    tagged = docs.withColumns(classes | {"mix_tokens": tokens})
+    names = [*classes, "mix_tokens", "mix_p", "mix_sampled"]
+    tagged = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"), *[v.alias(k) for k, v in classes.items()], tokens.alias("mix_tokens"))
     cells = tagged.groupBy(*classes).agg(F.sum("mix_tokens").alias("tokens"))
     raked = rake(cells, {f"mix_{k}": v[1] for k, v in margins.items()}, fraction, sweeps).select(*classes, F.col("p").alias("mix_p"))
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 13)
     draw = F.conv(digits, 16, 10).cast("double") / F.lit(float(HASH_RANGE))
     joined = tagged.join(F.broadcast(raked), list(classes), "left").withColumn("mix_p", F.coalesce("mix_p", F.lit(0.0)))
-    return joined.withColumn("mix_sampled", draw < F.col("mix_p")).select(*docs.columns, *classes, "mix_tokens", "mix_p", "mix_sampled")
+    return joined.withColumn("mix_sampled", draw < F.col("mix_p")).select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in names], *names)
 
 
 def mix_sql(table: str, margins: dict[str, tuple[str, dict[str, float]]], fraction: float, tokens: str, seed: str = "mix", sweeps: int = 15, fills: int = 10) -> str:

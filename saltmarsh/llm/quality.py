@@ -118,7 +118,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, learn: Column, threshol
     n = usable.count()
     few = sampled(usable, F.col(id_col), n, most)
     labelled = docs.select(id_col, text_col).join(F.broadcast(few), id_col)
-    weights = fit_quality(labelled, 0, text_col, id_col, label_col, most)
+    weights = fit_quality(labelled, docs.select(id_col).join(F.broadcast(few), id_col).count(), text_col, id_col, label_col, most)
     scored = score_quality(docs, weights, text_col, id_col)
     return scored.select(id_col, (~F.coalesce(learn, F.lit(False))).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

@@ -111,7 +111,7 @@ def learns_language() -> Column:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir)
     out = predict_languages(docs, fit_languages(docs, learns_language()))
-    return out.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", (~learns_language()).alias("held_out"), "lang_pred", "score")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

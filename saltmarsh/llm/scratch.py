@@ -50,6 +50,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def fresh(name: str, columns) -> str:
+    """``name``, with underscores after it as long as one of ``columns`` is called so, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing will read again."""
     path = getattr(df, "_scratch_path", None)

@@ -47,11 +47,21 @@ def _encoder(path: str, pattern: str):
     return _encoders[path]
 
 
+#: Words of a name in any style of capitals.
+HUMP = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def _in_words(run: bytes) -> bool:
+    """Whether letters of mixed case come in words of three or more on average, not in random case."""
+    parts = [(len(part), len(HUMP.findall(part))) for part in re.findall(rb"[A-Za-z]+", run)]
+    return sum(n for n, k in parts if k > 1) >= 3 * sum(k for _, k in parts if k > 1)
+
+
 def is_known(run: bytes, digests: frozenset) -> bool:
-    """Digests by shape or from the list given, UUIDs and identifiers."""
+    """Digests by shape or from the list given, UUIDs, numbers, and identifiers: words, joined, with short numbers."""
     if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run) or run in digests:
         return True
-    return not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)) or IDENTIFIER.fullmatch(run) is not None
+    return run.isdigit() or IDENTIFIER.fullmatch(run) is not None and _in_words(run)
 
 
 def _long_chunks(data: bytes) -> list[tuple[int, int]]:
@@ -95,8 +105,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str, most: float = 2
     """The secrets of each row's whole text: the id and ``spans``, an array of (kind, start, end).
 
     Kinds ``assign``, ``access`` and ``hex`` are the base patterns. ``random``: runs of at
-    least 20 characters of base64 and its URL form, with letters and digits, that have
-    fewer than ``most`` characters per token under a tiktoken vocabulary. A vocabulary
+    least 20 characters of base64 and its URL form that have fewer than ``most`` characters per token under a tiktoken vocabulary. A vocabulary
     learned from text spends few tokens on words and many on random strings. Known
     digests (by shape, or in ``known_digests``), UUIDs, identifiers and runs that a base
     span covers in part are left out.

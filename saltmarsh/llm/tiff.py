@@ -294,11 +294,17 @@ def read_tiff(data: bytes):
             yield _decode_page(data, order, tags)
     except struct.error as e:
         raise TiffError("the file ends too soon") from e
+    except (ArithmeticError, LookupError, ValueError, MemoryError) as e:
+        if isinstance(e, TiffError):
+            raise
+        raise TiffError(f"the file's numbers make no sense: {type(e).__name__}") from e
 
 
 def describe(image: np.ndarray) -> str:
     """Size, mean, deviation and entropy (bits) of an image's samples."""
     values = image.ravel()
+    if not values.size:
+        raise TiffError("a page without samples")
     odds = np.bincount(values if values.dtype == np.uint8 else values.astype(np.int64) & 255, minlength=256) / values.size
     odds = odds[odds > 0]
     return f"{image.shape[1]}x{image.shape[0]}x{image.shape[2]};mean={values.mean(dtype=np.float64):.4f};std={values.std(dtype=np.float64):.4f};entropy={max(0.0, -(odds * np.log2(odds)).sum()):.4f}"
@@ -373,7 +379,8 @@ def tiff_pages(files: DataFrame, media_col: str = "media", keep: tuple[str, ...]
                 try:
                     for image, scheme, predictor in read_tiff(value.as_buffer().to_pybytes()):
                         height, width, samples = image.shape
-                        yield *own, page, width, height, samples, image.itemsize * 8, scheme, predictor, image.astype(image.dtype.newbyteorder("<")).tobytes(), describe(image), None
+                        feature = describe(image)
+                        yield *own, page, width, height, samples, image.itemsize * 8, scheme, predictor, image.astype(image.dtype.newbyteorder("<")).tobytes(), feature, None
                         page += 1
                 except TiffError as e:
                     yield *own, page, None, None, None, None, None, None, None, None, str(e)
