@@ -15,7 +15,7 @@ from saltmarsh.llm.line_dedup import line_dedup
 from saltmarsh.llm.ngram_join import ngram_join
 from saltmarsh.llm.packing import pack_documents
 from saltmarsh.llm.queries import learns_language, mixed, vocabulary
-from saltmarsh.llm.scratch import materialize
+from saltmarsh.llm.scratch import fresh, materialize
 from saltmarsh.llm.skew import filter_of, join_group, maybe_member
 
 #: Documents whose language is less sure than this go.
@@ -23,15 +23,24 @@ LANGUAGE_LEAST = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those that no language fits; fills in a missing ``lang``."""
-    found = predict_languages(docs, fit_languages(docs, learns_language()), keep=tuple(docs.columns))
-    known = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LANGUAGE_LEAST))
-    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Drops documents without letters (null and empty ones too) and those that no language fits; fills in a missing ``lang``.
+
+    Repeated rows share their fate. Other columns, of any names, stay as they are.
+    """
+    lang, odds = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
+    found = predict_languages(docs, fit_languages(docs, learns_language()), keep=tuple(docs.columns), names=(lang, odds))
+    known = found.where((F.col(lang) != UNKNOWN) & (F.col(odds) >= LANGUAGE_LEAST))
+    return known.withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that stand earlier in the corpus, and documents that have no other lines."""
-    out = line_dedup(docs).where("n_lines = 0 or n_dropped < n_lines")
+    """Takes out lines that stand earlier in the corpus, and documents that have no other lines.
+
+    Documents without lines (null and blank texts) stay. Rows that repeat id and text share
+    their fate. Other columns, of any names, stay as they are; ``n_chars`` follows the text.
+    """
+    n, gone = fresh("n_lines", docs.columns), fresh("n_dropped", docs.columns)
+    out = line_dedup(docs, counts=(n, gone)).where((F.col(n) == 0) | (F.col(gone) < F.col(n)))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -57,7 +66,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that their tokens have the target shares of sources, languages and topics."""
+    """Samples documents so that their tokens have the target shares of sources, languages and topics.
+
+    Null and unlisted values are a class of their own. A document without words goes or stays
+    as its cell does. Rows that repeat an id share their draw. Columns may have any names
+    but those that ``mix`` adds.
+    """
     return mixed(docs).where("mix_sampled").select(*docs.columns)
 
 
