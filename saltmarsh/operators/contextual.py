@@ -6,6 +6,7 @@ A reader gets a text as UTF-8 bytes and yields (start, end, type, confidence, sp
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from saltmarsh.functions.text import entropy
@@ -19,15 +20,42 @@ Found = Iterator[tuple[int, int, str, int, int]]
 LINE_END = re.compile(rb"\r\n|[\r\n]|\xe2\x80[\xa8\xa9]")
 
 
-def line_around(data: bytes, start: int, end: int, before: int = 0) -> tuple[int, int]:
-    """The bounds of the line of a span, with so many lines before it."""
-    at = start
-    for _ in range(before + 1):
-        at = max(data.rfind(b"\n", 0, at), data.rfind(b"\r", 0, at))
-        if at < 0:
-            break
-    after = LINE_END.search(data, end)
-    return at + 1, after.start() if after else len(data)
+class Lines:
+    """The lines of a text, found once, and which of them match which pattern, looked up once for each line."""
+
+    def __init__(self, data: bytes):
+        self.data, self.starts, self.ends = data, [0], []
+        for m in LINE_END.finditer(data):
+            self.ends.append(m.start())
+            self.starts.append(m.end())
+        self.ends.append(len(data))
+        self._first: dict[tuple[re.Pattern, int], int] = {}
+
+    def number(self, at: int) -> int:
+        return bisect_right(self.starts, at) - 1
+
+    def first(self, pattern: re.Pattern, k: int) -> int:
+        """Where ``pattern`` first matches on line ``k``, or past the text."""
+        if k < 0:
+            return len(self.data)
+        found = self._first.get((pattern, k))
+        if found is None:
+            m = pattern.search(self.data, self.starts[k], self.ends[k])
+            found = self._first[(pattern, k)] = m.start() if m else len(self.data)
+        return found
+
+    def has(self, pattern: re.Pattern, k: int) -> bool:
+        return self.first(pattern, k) < len(self.data)
+
+
+_latest: list = [None, None]
+
+
+def lines_of(data: bytes) -> Lines:
+    """The lines of the text that several readers look at in turn."""
+    if _latest[0] is not data:
+        _latest[:] = [data, Lines(data)]
+    return _latest[1]
 
 
 def _edges(data: bytes, start: int, end: int, edge: re.Pattern) -> bool:
@@ -48,10 +76,10 @@ def _near(pattern: bytes, kind: str, words: bytes, high: bytes | None = None, be
         for m in value.finditer(data):
             if not _edges(data, m.start(), m.end(), edge) or accept and not accept(m.group()):
                 continue
-            first, last = line_around(data, m.start(), m.end(), before)
-            if near.search(data, first, last):
-                own, _ = line_around(data, m.start(), m.end())
-                confident = sure is not None and sure.search(data, own, last) is not None
+            lines = lines_of(data)
+            k = lines.number(m.start())
+            if any(lines.has(near, j) for j in range(k, k - before - 1, -1)):
+                confident = sure is not None and lines.has(sure, k)
                 yield m.start(), m.end(), kind, HIGH if confident else MEDIUM, PROVIDER
 
     return read
@@ -82,32 +110,43 @@ def private_key(data: bytes) -> Found:
 
 
 AWS_SECRET = re.compile(rb"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])")
-AWS_NAME = re.compile(rb"secret[A-Za-z0-9_. -]{0,32}[\"']?\s*(?:=>|[:=])\s*[\"']?$", re.IGNORECASE)
+AWS_NAME = re.compile(rb"secret[A-Za-z0-9_. -]{0,32}[\"']?[ \t]*(?:=>|[:=])[ \t]*(?:\r?\n[ \t]*)?[\"']?$", re.IGNORECASE)
 AWS_ID = re.compile(rb"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 
 def aws_secret(data: bytes) -> Found:
     for m in AWS_SECRET.finditer(data):
-        first, last = line_around(data, m.start(), m.end(), 1)
-        if AWS_NAME.search(data[max(0, m.start() - 96) : m.start()]) or AWS_ID.search(data, first, last):
+        lines = lines_of(data)
+        k = lines.number(m.start())
+        if AWS_NAME.search(data[max(0, m.start() - 96) : m.start()]) or lines.has(AWS_ID, k) or lines.has(AWS_ID, k - 1):
             yield m.start(), m.end(), "aws_secret_access_key", HIGH, PROVIDER
 
 
+TWILIO = re.compile(rb"twilio", re.IGNORECASE)
+TWILIO_ACCOUNT = re.compile(rb"(?<![A-Za-z0-9])AC[0-9a-f]{32}(?![A-Za-z0-9])")
+TWILIO_KEY = re.compile(rb"(?<![A-Za-z0-9])SK[A-Za-z0-9]{32}(?![A-Za-z0-9])")
+TWILIO_AUTH_NAME = re.compile(rb"twilio[A-Za-z0-9_.]{0,64}?auth[_.-]?token", re.IGNORECASE)
+TWILIO_AUTH = re.compile(rb"(?<![A-Za-z0-9_-])[0-9a-f]{32}(?![A-Za-z0-9_-])")
+TWILIO_SECRET = re.compile(rb"(?<![A-Za-z0-9_-])[A-Za-z0-9]{32}(?![A-Za-z0-9_-])")
+
+
 def twilio_auth(data: bytes) -> Found:
-    for m in re.finditer(rb"(?<![A-Za-z0-9_-])[0-9a-f]{32}(?![A-Za-z0-9_-])", data):
-        first, last = line_around(data, m.start(), m.end())
-        if re.search(rb"(?<![A-Za-z0-9])AC[0-9a-f]{32}(?![A-Za-z0-9])", data[first:last]) or re.search(rb"twilio[A-Za-z0-9_.]*auth[_.-]?token", data[first : m.start()], re.IGNORECASE):
+    for m in TWILIO_AUTH.finditer(data):
+        lines = lines_of(data)
+        k = lines.number(m.start())
+        if lines.has(TWILIO_ACCOUNT, k) or lines.first(TWILIO_AUTH_NAME, k) < m.start():
             yield m.start(), m.end(), "twilio_auth_token", HIGH, PROVIDER
-        elif re.search(rb"twilio", data[first:last], re.IGNORECASE):
+        elif lines.has(TWILIO, k):
             yield m.start(), m.end(), "twilio_auth_token", MEDIUM, PROVIDER
 
 
 def twilio_secret(data: bytes) -> Found:
-    for m in re.finditer(rb"(?<![A-Za-z0-9_-])[A-Za-z0-9]{32}(?![A-Za-z0-9_-])", data):
-        first, last = line_around(data, m.start(), m.end())
-        if re.search(rb"(?<![A-Za-z0-9])SK[A-Za-z0-9]{32}(?![A-Za-z0-9])", data[first:last]):
+    for m in TWILIO_SECRET.finditer(data):
+        lines = lines_of(data)
+        k = lines.number(m.start())
+        if lines.has(TWILIO_KEY, k):
             yield m.start(), m.end(), "twilio_api_key_secret", HIGH, PROVIDER
-        elif re.search(rb"twilio", data[first:last], re.IGNORECASE) and re.search(rb"[G-Zg-z]", m.group()):
+        elif lines.has(TWILIO, k) and re.search(rb"[G-Zg-z]", m.group()):
             yield m.start(), m.end(), "twilio_api_key_secret", MEDIUM, PROVIDER
 
 
@@ -130,41 +169,55 @@ def new_relic_license(data: bytes) -> Found:
     yield from _near(rb"(?<![0-9a-f])[0-9a-f]{40}(?![0-9a-f])", "new_relic_license_key", rb"new[ _-]?relic")(data)
 
 
+MAILCHIMP = re.compile(rb"mailchimp", re.IGNORECASE)
+
+
 def mailchimp(data: bytes) -> Found:
     """High, but for keys in a host name or path, which need the name of the provider on their line."""
     for m in re.finditer(rb"(?<![A-Za-z0-9_-])[0-9A-Fa-f]{32}-us[0-9]{1,3}(?![A-Za-z0-9_-])", data):
         beside = data[m.start() - 1 : m.start()] + data[m.end() : m.end() + 1]
-        first, last = line_around(data, m.start(), m.end())
+        lines = lines_of(data)
         if not re.search(rb"[./]", beside):
             yield m.start(), m.end(), "mailchimp_api_key", HIGH, PROVIDER
-        elif re.search(rb"mailchimp", data[first:last], re.IGNORECASE):
+        elif lines.has(MAILCHIMP, lines.number(m.start())):
             yield m.start(), m.end(), "mailchimp_api_key", MEDIUM, PROVIDER
 
 
+#: How far before a value its name may begin.
+NAME_REACH = 128
+OKTA = re.compile(rb"okta", re.IGNORECASE)
+OKTA_NAME = re.compile(rb"SSWS[ \t]+$|okta[A-Za-z0-9_.-]*(?:token|key)[\"']?[ \t]*[:=][ \t]*[\"']?$", re.IGNORECASE)
+
+
 def okta(data: bytes) -> Found:
     for m in re.finditer(rb"(?<![A-Za-z0-9_-])00[A-Za-z0-9_-]{40}(?![A-Za-z0-9_-])", data):
-        first, last = line_around(data, m.start(), m.end())
-        if re.search(rb"SSWS[ \t]+$|okta[A-Za-z0-9_.-]*(?:token|key)[\"']?\s*[:=]\s*[\"']?$", data[first : m.start()], re.IGNORECASE):
+        lines = lines_of(data)
+        k = lines.number(m.start())
+        if OKTA_NAME.search(data[max(lines.starts[k], m.start() - NAME_REACH) : m.start()]):
             yield m.start(), m.end(), "okta_api_token", HIGH, PROVIDER
-        elif re.search(rb"okta", data[first:last], re.IGNORECASE):
+        elif lines.has(OKTA, k):
             yield m.start(), m.end(), "okta_api_token", MEDIUM, PROVIDER
 
 
 UUID = rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
+NAMED = re.compile(rb"([A-Za-z0-9_.-]+)[\"']?[ \t]*[:=][ \t]*[\"']?$")
+PINECONE = re.compile(rb"pinecone", re.IGNORECASE)
+
+
 def pinecone(data: bytes) -> Found:
     for m in re.finditer(rb"(?<![A-Za-z0-9_-])pcsk_[A-Za-z0-9]{5,6}_[A-Za-z0-9]{63}(?![A-Za-z0-9_-])", data):
         yield m.start(), m.end(), "pinecone_api_key", HIGH, PROVIDER
     for m in re.finditer(rb"(?<![A-Za-z0-9_-])" + UUID + rb"(?![A-Za-z0-9_-])", data):
-        first, last = line_around(data, m.start(), m.end())
-        lead = data[first : m.start()]
-        named = re.search(rb"([A-Za-z0-9_.-]+)[\"']?\s*[:=]\s*[\"']?$", lead)
-        if named and re.search(rb"pinecone", named[1] if re.search(rb"pinecone", named[1], re.IGNORECASE) else data[first:last], re.IGNORECASE) and re.search(rb"key", named[1], re.IGNORECASE):
+        lines = lines_of(data)
+        k = lines.number(m.start())
+        named = NAMED.search(data[max(lines.starts[k], m.start() - NAME_REACH) : m.start()])
+        if named and b"key" in named[1].lower() and lines.has(PINECONE, k):
             yield m.start(), m.end(), "pinecone_api_key", HIGH, PROVIDER
 
 
-BEARER = re.compile(rb"(?:((?<![A-Za-z-])(?:proxy-)?authorization[\"']?\s*[:=]\s*[\"']?\s*)?(?<![A-Za-z0-9_])bearer[ \t]+([A-Za-z0-9._~+/%-]+={0,2})|secret-token:([A-Za-z0-9._~%+/=-]{12,}))", re.IGNORECASE)
+BEARER = re.compile(rb"(?:((?<![A-Za-z-])(?:proxy-)?authorization[\"']?[ \t]{0,64}[:=][ \t]{0,64}[\"']?[ \t]{0,64})?(?<![A-Za-z0-9_])bearer[ \t]+([A-Za-z0-9._~+/%-]+={0,2})|secret-token:([A-Za-z0-9._~%+/=-]{12,}))", re.IGNORECASE)
 
 
 def bearer(data: bytes) -> Found:
@@ -266,14 +319,38 @@ def _assignments(data: bytes, extra: frozenset = frozenset()) -> Found:
             yield m.start(k), m.end(k), "contextual_secret", MEDIUM, CONTEXTUAL
 
 
-AUTHORIZATION = re.compile(rb"(?<![A-Za-z0-9-])(?:proxy-)?authorization[\"']?[ \t]*[:=][ \t]*[\"']?[ \t]*(basic|token|key|apikey)[ \t]+([A-Za-z0-9._~+/=-]{12,})", re.IGNORECASE)
+AUTHORIZATION = re.compile(rb"(?<![A-Za-z0-9-])(?:proxy-)?authorization[\"']?[ \t]{0,64}[:=][ \t]{0,64}[\"']?[ \t]{0,64}(basic|token|key|apikey)[ \t]+([A-Za-z0-9._~+/=-]{12,})", re.IGNORECASE)
 BARE_VENDOR = re.compile(rb"(?<![A-Za-z0-9_-])(?:sk-(?:proj|svcacct|admin)-[A-Za-z0-9_-]{20,}|sk-[A-Za-z0-9]{48})(?![A-Za-z0-9_-])")
 NPMRC = re.compile(rb"^[^\s=]*:?_(?:authToken|auth|password)[ \t]*=[ \t]*\"?([^\s\"]{8,4096})\"?[ \t]*\r?$", re.MULTILINE)
-EMAIL_TOKEN = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+/token:([A-Za-z0-9]{16,})")
-CURL_USER = re.compile(rb"\bcurl\b[^\r\n]{0,8192}?[ \t](?:-u|-U|--user|--proxy-user)[ \t=]*[\"']?([^\s:\"']+):([^\s\"']{4,})")
+EMAIL_TOKEN = re.compile(rb"/token:([A-Za-z0-9]{16,})")
+EMAIL_BEFORE = re.compile(rb"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+$")
+#: The longest address that is looked for before ``/token:``.
+ADDRESS_REACH = 320
+CURL = re.compile(rb"\bcurl\b")
+CURL_USER = re.compile(rb"[ \t](?:-u|-U|--user|--proxy-user)[ \t=]*[\"']?([^\s:\"']+):([^\s\"']{4,})")
+#: How far after ``curl`` its user may be named.
+CURL_REACH = 8192
 SDK_CALL = re.compile(rb"\b(?:api_key|apiKey|auth_token|authToken|setApiKey|setPassword|set_password|login)\([ \t]*[\"']([^\"'\r\n]{16,4096})[\"'][ \t]*\)")
 
 
+def _email_tokens(data: bytes):
+    return (m for m in EMAIL_TOKEN.finditer(data) if EMAIL_BEFORE.search(data[max(0, m.start() - ADDRESS_REACH) : m.start()]))
+
+
+def _curl_users(data: bytes):
+    """The first user option after each ``curl`` on its line."""
+    curls = [m.end() for m in CURL.finditer(data)]
+    if not curls:
+        return
+    used, lines = 0, lines_of(data)
+    for m in CURL_USER.finditer(data):
+        first = max(used, lines.starts[lines.number(m.start())], m.start() - CURL_REACH)
+        k = bisect_right(curls, m.start()) - 1
+        if k >= 0 and curls[k] > first:
+            used = m.end()
+            yield m
+
+
 def _others(data: bytes) -> Found:
     for m in AUTHORIZATION.finditer(data):
         text = m[2].decode()
@@ -282,8 +359,8 @@ def _others(data: bytes) -> Found:
     for m in BARE_VENDOR.finditer(data):
         if entropy(m.group().decode()) >= 3.0:
             yield m.start(), m.end(), "vendor_prefixed_credential", MEDIUM, ENTROPY
-    for pattern, k, confidence in ((NPMRC, 1, HIGH), (EMAIL_TOKEN, 1, HIGH), (CURL_USER, 2, HIGH), (SDK_CALL, 1, MEDIUM)):
-        for m in pattern.finditer(data):
+    for matches, k, confidence in ((NPMRC.finditer(data), 1, HIGH), (_email_tokens(data), 1, HIGH), (_curl_users(data), 2, HIGH), (SDK_CALL.finditer(data), 1, MEDIUM)):
+        for m in matches:
             if not is_reference(m[k].decode("utf-8", "replace")):
                 yield m.start(k), m.end(k), "contextual_secret", confidence, CONTEXTUAL
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ipaddress
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 from saltmarsh.functions.text import INVISIBLE_RUN, iban_mod97, luhn, us_ssn
@@ -273,16 +274,30 @@ def _tail_labels(before: str, domain: str):
             yield len(form), strong, cls, name
 
 
-def context(text: str, found: Identity, others: list[Identity]) -> tuple[bool, bool]:
-    """Whether a strong positive label and whether a strong negative one belongs to a value."""
+class Neighbours:
+    """For each of a text's values how far its line and the values beside it let its context reach."""
+
+    def __init__(self, text: str, found: list[Identity]):
+        self.breaks = [m.start() for m in re.finditer(r"[\r\n]", text)]
+        self.starts, self.ends, self.size = sorted(i.start for i in found), sorted(i.end for i in found), len(text)
+
+    def bounds(self, start: int, end: int) -> tuple[int, int]:
+        k, after = bisect_left(self.breaks, start), bisect_left(self.breaks, end)
+        before, beyond = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        first = max(self.breaks[k - 1] + 1 if k else 0, self.ends[before - 1] if before else 0)
+        last = min(self.breaks[after] if after < len(self.breaks) else self.size, self.starts[beyond] if beyond < len(self.starts) else self.size)
+        return first, last
+
+
+#: The longest text before a value that can hold a field's name.
+NAME_REACH = 256
+
+
+def context(text: str, found: Identity, first: int, last: int) -> tuple[bool, bool]:
+    """Whether a strong positive label and whether a strong negative one belongs to a value, between ``first`` and ``last``."""
     domain = FAMILIES[found.family][0]
-    first = max(text.rfind("\n", 0, found.start), text.rfind("\r", 0, found.start)) + 1
-    ends = [i for i in (text.find("\n", found.end), text.find("\r", found.end)) if i >= 0]
-    last = min(ends, default=len(text))
-    first = max([first, *(o.end for o in others if o.end <= found.start)])
-    last = min([last, *(o.start for o in others if o.start >= found.end)])
     positive = negative = False
-    best = max(_tail_labels(text[first : found.start], domain), default=None)
+    best = max(_tail_labels(text[max(first, found.start - NAME_REACH) : found.start], domain), default=None)
     if best and best[1]:
         positive, negative = best[2] == "positive", best[2] == "negative"
     for part in (text[max(first, found.start - LABEL_REACH) : found.start], text[found.end : min(last, found.end + LABEL_REACH)]):
@@ -300,10 +315,11 @@ def sensitive(text: str, families: tuple[str, ...]) -> list[tuple[int, int, str,
     with the least of their confidences.
     """
     found = identities(text, families)
+    beside = Neighbours(text, found)
     spans: dict[tuple[int, int, str], list[Identity]] = {}
     for i in found:
         if i.sensitive_by_itself is not False:
-            positive, negative = context(text, i, [o for o in found if (o.start, o.end) != (i.start, i.end)])
+            positive, negative = context(text, i, *beside.bounds(i.start, i.end))
             if positive and not negative:
                 spans.setdefault((i.start, i.end, FAMILIES[i.family][0]), []).append(i)
     out = []

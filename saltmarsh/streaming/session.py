@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from saltmarsh.functions.text import INVISIBLE_RUN
+from saltmarsh.operators.contextual import PEM
 from saltmarsh.operators.policy import default_action
 from saltmarsh.operators.scan import ScanConfig, scanner
 
 OUT = "stream_id string, seq long, text string, state string, error string, findings long, replaced long"
-STATE = "seq long, kept string, state string, bytes long, findings long, replaced long, early string"
+STATE = "seq long, session string, early string"
 CODES = ("SESSION_NOT_ACCEPTING", "INPUT_LIMIT", "BUFFER_LIMIT", "TIMEOUT")
 
 
@@ -26,78 +28,106 @@ class SessionLimits:
     most_buffered: int = 1 << 20
 
 
-# What keeps lines together: an unfinished key block, an assignment or header without its value yet,
-# and lines whose neighbours decide (names of providers, list items, continuations).
-OPEN_TAIL = re.compile(r"(?:[:=]\s*[\"'`({\[]?|\\|,|bearer|authorization:?\s*\w*)\s*$", re.IGNORECASE)
-KEY_BEGIN, KEY_END = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
-NEIGHBOURS = re.compile(r"akia|asia|secret|heroku|confluent|deepgram|twilio|curl|name:|machine ", re.IGNORECASE)
+#: Lines before a value whose words can decide on it: the furthest that any reader looks back.
 REACH = 8
 
 
-def closed_until(text: str) -> int:
-    """How much of ``text`` no later text can change: whole lines after which nothing is open."""
-    end = text.rfind("\n") + 1
-    if len(KEY_BEGIN.findall(text, 0, end)) > len(KEY_END.findall(text, 0, end)):
-        return KEY_BEGIN.search(text).start() if not KEY_END.search(text) else 0
-    while end:
-        first = text.rfind("\n", 0, end - 1) + 1
-        line = text[first:end].rstrip("\r\n")
-        if line.strip() and not OPEN_TAIL.search(line):
-            break
-        end = first
-    lines = [m.end() for m in re.finditer("\n", text[:end])]
-    late = max(0, len(lines) - REACH)
-    for k in range(late, len(lines)):
-        start = lines[k - 1] if k else 0
-        if NEIGHBOURS.search(text, start, lines[k]):
-            return start
-    return end
-
-
 class Session:
-    """One stream: ``append`` and ``finish`` give sanitized text; any chunking gives the same in the end."""
+    """One stream: ``append`` and ``finish`` give sanitized text; in all it is that of the whole text's scan.
+
+    Values end on the line that they begin on, but for key blocks, and no reader looks at
+    a later line. So whole lines are given out at once, unless a key block is open: from
+    the line of its first BEGIN on they wait until all that began has ended. The last
+    lines given out stay as context for what follows.
+    """
 
     def __init__(self, config: ScanConfig = ScanConfig(), limits: SessionLimits = SessionLimits()):
         self.config, self.limits = config, limits
-        self.kept, self.state, self.bytes, self.findings, self.replaced = "", "accepting", 0, 0, 0
+        self.context, self.waiting, self.partial, self.open = "", [], [], 0
+        self.buffered, self.state, self.bytes, self.findings, self.replaced = 0, "accepting", 0, 0, 0
+
+    @property
+    def kept(self) -> str:
+        """What waits: lines of an open key block, and the line without an end."""
+        return "".join([*self.waiting, *self.partial])
+
+    def saved(self) -> str:
+        """All that ``restored`` needs but the limits and configuration."""
+        return json.dumps([self.context, self.waiting, self.partial, self.open, self.buffered, self.state, self.bytes, self.findings, self.replaced])
+
+    def restored(self, saved: str) -> Session:
+        self.context, self.waiting, self.partial, self.open, self.buffered, self.state, self.bytes, self.findings, self.replaced = json.loads(saved)
+        return self
 
     def _sanitize(self, text: str) -> str:
-        data, out, at = text.encode(), [], 0
-        for c in scanner(self.config).scan(text):
+        whole = self.context + text
+        data, at, out = whole.encode(), len(self.context.encode()), []
+        for c in scanner(self.config).scan(whole):
+            if c.start < at:
+                continue
             self.findings += 1
             if default_action(c.type, c.confidence) in ("redact", "block"):
                 self.replaced += 1
                 out += [data[at : c.start], f"<SECRET_{self.replaced}>".encode()]
                 at = c.end
+        lines = whole.rsplit("\n", REACH + 1)
+        self.context = whole if len(lines) <= REACH + 1 else "\n".join(lines[1:])
         return b"".join([*out, data[at:]]).decode()
 
     def _fail(self, code: str) -> tuple[str, str]:
-        self.kept, self.state = "", "failed"
+        self.context, self.waiting, self.partial, self.buffered, self.state = "", [], [], 0, "failed"
         return "", code
 
+    def _closed(self, lines: str) -> str:
+        """Takes in whole lines; what can be given out now."""
+        if not self.open and "-----BEGIN " not in (lines if lines.isascii() else INVISIBLE_RUN.sub("", lines)):
+            return lines
+        ready = []
+        for line in re.findall(r"[^\n]*\n", lines):
+            was_open = self.open
+            for m in PEM.finditer(INVISIBLE_RUN.sub("", line).encode()):
+                self.open = self.open + 1 if m[1] == b"BEGIN" else max(0, self.open - 1)
+            if was_open or self.open:
+                self.waiting.append(line)
+                self.buffered += len(line.encode())
+            if not self.open:
+                ready += [*self.waiting, *([] if was_open else [line])]
+                self.buffered -= sum(len(w.encode()) for w in self.waiting)
+                self.waiting = []
+        return "".join(ready)
+
     def append(self, chunk: str) -> tuple[str, str | None]:
         if self.state != "accepting":
             return "", CODES[0]
-        self.bytes += len(chunk.encode())
+        size = len(chunk.encode())
+        self.bytes += size
         if self.bytes > self.limits.most_bytes:
             return self._fail(CODES[1])
-        self.kept += chunk
-        end = closed_until(self.kept)
-        ready, self.kept = self.kept[:end], self.kept[end:]
-        if len(self.kept.encode()) > self.limits.most_buffered:
+        end = chunk.rfind("\n") + 1
+        ready = ""
+        if end:
+            lines = "".join([*self.partial, chunk[:end]])
+            self.buffered -= sum(len(p.encode()) for p in self.partial)
+            self.partial = []
+            ready = self._closed(lines)
+        if end < len(chunk):
+            self.partial.append(chunk[end:])
+            self.buffered += len(chunk[end:].encode())
+        if self.buffered > self.limits.most_buffered:
             return self._fail(CODES[2])
         return self._sanitize(ready) if ready else "", None
 
     def finish(self) -> tuple[str, str | None]:
         if self.state != "accepting":
             return "", CODES[0]
-        out, self.kept, self.state = self._sanitize(self.kept), "", "finalized"
+        out = self._sanitize(self.kept)
+        self.context, self.waiting, self.partial, self.buffered, self.state = "", [], [], 0, "finalized"
         return out, None
 
     def abort(self) -> tuple[str, str | None]:
         if self.state != "accepting":
             return "", CODES[0]
-        self.kept, self.state = "", "aborted"
+        self.context, self.waiting, self.partial, self.buffered, self.state = "", [], [], 0, "aborted"
         return "", None
 
 
@@ -116,7 +146,8 @@ def sanitize_stream(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits
     def step(key, batches, held: GroupState):
         session, following, early = Session(config, limits), 0, {}
         if held.exists:
-            following, session.kept, session.state, session.bytes, session.findings, session.replaced, waiting = held.get
+            following, saved, waiting = held.get
+            session.restored(saved)
             early = {int(k): v for k, v in json.loads(waiting).items()}
         rows = []
         row = lambda seq, text, error: rows.append((key[0], seq, text, session.state, error, session.findings, session.replaced))
@@ -134,7 +165,7 @@ def sanitize_stream(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits
             if session.state == "accepting" and sum(len(c.encode()) for c, _ in early.values()) > limits.most_buffered:
                 row(following, *session._fail(CODES[2]))
                 early = {}
-            held.update((following, session.kept, session.state, session.bytes, session.findings, session.replaced, json.dumps(early)))
+            held.update((following, session.saved(), json.dumps(early)))
             if wait and session.state == "accepting":
                 held.setTimeoutDuration(wait)
         yield pd.DataFrame(rows, columns=["stream_id", "seq", "text", "state", "error", "findings", "replaced"])
@@ -143,14 +174,35 @@ def sanitize_stream(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits
 
 
 def sanitize_batch(chunks: DataFrame, config: ScanConfig = ScanConfig(), limits: SessionLimits = SessionLimits()) -> DataFrame:
-    """The same for a table of chunks: one row for each stream with its whole sanitized text."""
+    """The same for a table of chunks: one row for each stream with its whole sanitized text.
 
-    def run(frame):
-        session, out, error = Session(config, limits), [], None
-        for chunk, op in zip(*[frame.sort_values("seq")[c] for c in ("chunk", "op")], strict=True):
-            text, failed = session.append(chunk or "") if op == "append" else session.finish() if op == "finalize" else session.abort()
-            out.append(text)
-            error = error or failed
-        return pd.DataFrame([(frame["stream_id"].iloc[0], "".join(out), session.state, error, session.findings, session.replaced)], columns=["stream_id", "text", "state", "error", "findings", "replaced"])
+    Chunks are dealt out by stream and sorted; a task then has one session at a time.
+    """
 
-    return chunks.groupBy("stream_id").applyInPandas(run, "stream_id string, text string, state string, error string, findings long, replaced long")
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["stream_id", "text", "state", "error", "findings", "replaced"]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        session, stream, out, error, rows = None, None, [], None, []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        ended = lambda: (stream, "".join(out), session.state, error, session.findings, session.replaced)
+        for batch in batches:
+            for following, chunk, op in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "chunk", "op")), strict=True):
+                if session is None or following != stream:
+                    if session is not None:
+                        rows.append(ended())
+                    session, stream, out, error = Session(config, limits), following, [], None
+                text, failed = session.append(chunk or "") if op == "append" else session.finish() if op == "finalize" else session.abort()
+                out.append(text)
+                error = error or failed
+            if len(rows) >= 1024:
+                yield made()
+                rows = []
+        if session is not None:
+            rows.append(ended())
+        if rows:
+            yield made()
+
+    ordered = chunks.select("stream_id", "seq", "chunk", "op").repartition("stream_id").sortWithinPartitions("stream_id", "seq")
+    return ordered.mapInArrow(run, "stream_id string, text string, state string, error string, findings long, replaced long")
