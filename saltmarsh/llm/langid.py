@@ -13,7 +13,7 @@ from saltmarsh.llm.hashing import mix
 from saltmarsh.llm.quality import sampled
 from saltmarsh.llm.scratch import fresh
 from saltmarsh.llm.tokens import in_portions
-from saltmarsh.llm.worker import cache_of, task
+from saltmarsh.llm.worker import cache_of, small_batches, task
 
 BITS = 16
 LONGEST = 3
@@ -202,6 +202,7 @@ def fit_languages(docs: DataFrame, learn: Column, text_col: str = "text", id_col
     document frequencies from all of them, and the regression from at most ``most`` of
     them, in one task of that bound.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     idf = inverse_frequencies(rows, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
@@ -223,6 +224,7 @@ def predict_languages(docs: DataFrame, model: tuple[list[str], float, np.ndarray
     language was learned. Equal scores: the language that sorts first. Repeated rows each get
     theirs. Columns of ``keep`` with one of ``names`` are replaced. No shuffle.
     """
+    small_batches(docs.sparkSession)
     langs, t, weights = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     keep = tuple(c for c in keep if c not in names)

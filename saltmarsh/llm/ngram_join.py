@@ -14,7 +14,7 @@ from saltmarsh.llm.hashing import shingle_sets
 from saltmarsh.llm.scratch import discard, materialize
 from saltmarsh.llm.skew import filter_of, join_group, maybe_member
 from saltmarsh.llm.tokens import in_portions
-from saltmarsh.llm.worker import task
+from saltmarsh.llm.worker import small_batches, task
 
 #: Classes that a task remembers to have met; beyond, it forgets them all, and those that recur come up again.
 MET = 1 << 17
@@ -362,6 +362,7 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     which there are at most ``FREQUENT_MOST`` at any input size.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
     signed = materialize(source.mapInArrow(_signer(), "_id long, n long, node long, shingles array<long>, counts array<long>"), "signed")
     rows = signed.where("shingles is null").select("_id", "n", "node")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from saltmarsh.llm.scratch import materialize
 from saltmarsh.llm.tokens import in_portions, tokenizer
-from saltmarsh.llm.worker import task
+from saltmarsh.llm.worker import small_batches, task
 
 #: Pieces of one length are numbered in groups of about 1 in so many of all pieces, so
 #: no task numbers more than that of one length; there are at most so many groups and
@@ -148,6 +148,7 @@ def _cutter(path: str, capacity: int, end_id: int):
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Each document's ids, with ``end_id`` after them, cut into pieces of ``capacity`` where they are more."""
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return source.mapInArrow(_cutter(tokenizer_path, capacity, end_id), PIECES)
 

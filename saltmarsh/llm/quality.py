@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.ftrl import Ftrl, probabilities
 from saltmarsh.llm.hashing import mix, parts_of
 from saltmarsh.llm.tokens import in_portions
-from saltmarsh.llm.worker import task
+from saltmarsh.llm.worker import small_batches, task
 
 BITS = 18
 #: At most so many labelled rows are learned from.
@@ -88,6 +88,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
     The score is the sigmoid of the dot product of the weights and the text's features. A
     null text counts as empty; an empty one gets the bias alone. No shuffle.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     @task("quality")
@@ -114,6 +115,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, learn: Column, threshol
     which bounds what is broadcast to fetch their texts. Returns the id, ``held_out`` (not
     learned from, by ``learn``), ``score`` and ``predicted``.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where(learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col), F.col(label_col))
     n = usable.count()
     few = sampled(usable, F.col(id_col), n, most)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.tokens import in_portions
-from saltmarsh.llm.worker import cache_of, task
+from saltmarsh.llm.worker import cache_of, small_batches, task
 
 # The base patterns and the lengths that their matches need.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -126,6 +126,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, pattern: str, most: float = 2
                 spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in _in_characters(data, find_secrets(data, encoder, most, known_digests))] for _, data in portion]
                 yield pa.RecordBatch.from_arrays([ids.slice(portion[0][0], len(portion)), pa.array(spans, kind)], ["_id", "spans"])
 
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return source.mapInArrow(scan, "_id long, spans array<struct<kind: string, start: long, end: long>>").withColumnRenamed("_id", id_col)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from saltmarsh.llm.scratch import _path, materialize
 from saltmarsh.llm.skew import join_group
 from saltmarsh.llm.tokens import in_portions, tokenizer, version_of
-from saltmarsh.llm.worker import task
+from saltmarsh.llm.worker import small_batches, task
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Stands for a null id where rows are matched by id.
@@ -61,6 +61,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, normalis
     The tokenizer's file must be at the same path on all executors.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     version = version_of(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))

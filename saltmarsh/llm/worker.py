@@ -5,6 +5,10 @@ from __future__ import annotations
 import ctypes
 import functools
 
+#: Rows of a batch that goes to a Python worker, unless the session says otherwise: a row can hold a long text,
+#: and the executor holds a batch outside its heap, with as much again while it grows.
+BATCH_ROWS = 256
+
 _caches: list[tuple[frozenset[str], object]] = []
 
 
@@ -31,6 +35,13 @@ def trim() -> None:
         give_back(0)
 
 
+def small_batches(spark) -> None:
+    """Has the session send batches of BATCH_ROWS to Python workers, unless it has a setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def task(kind: str):
     """For functions of ``mapInArrow``: caches of other kinds go at the start, free memory at the end."""
 
