@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("path", help="files to read: a path or glob")
     out.add_argument("--out", help="folder to write the report or the sanitized text to")
     out.add_argument("--profile", default="full", choices=("full", "common"))
-    out.add_argument("--pii", action="append", default=[], help="selector, such as pii or pii:family:email")
+    out.add_argument("--pii", action="append", default=[], help="selector, such as pii:us or pii:family:global:email")
     out.add_argument("--ruleset", help="file of a ruleset")
     out.add_argument("--action-policy", help="file of an action policy")
     out.add_argument("--compare-action-policy", action="append", default=[], help="up to three more policies")

@@ -62,11 +62,29 @@ TEST_CARDS = ("2222420000001113", "2222630000001125", "3566111111111113", "37828
 RESERVED_DOMAINS = ("example", "test", "invalid", "localhost", "example.com", "example.net", "example.org")
 
 
+# The published id of each family, and ids that are known but have no detection here.
+IDS = {
+    "email": "pii:global:email",
+    "iban": "pii:global:iban",
+    "network-address": "pii:global:network-address",
+    "payment-card": "pii:global:payment-card",
+    "phone": "pii:global:phone",
+    "us-ssn": "pii:us:ssn",
+}
+UNAVAILABLE = ("pii:global:ambiguous-national-id", "pii:global:us-ssn")
+# Codes of faulty selectors and their messages.
+SELECTOR_ERRORS = {
+    "PII_SELECTOR_INVALID": "PII selector is invalid.",
+    "PII_SELECTOR_UNSUPPORTED": "PII jurisdiction or family is unsupported.",
+    "PII_SELECTOR_UNAVAILABLE": "PII selection is unavailable in this artifact.",
+}
+
+
 class PiiError(ValueError):
-    """A selector that isn't known, said twice or badly formed."""
+    """A selector that is badly formed, not known or without detection; the message never holds it."""
 
     def __init__(self, code: str):
-        super().__init__(code)
+        super().__init__(SELECTOR_ERRORS[code])
         self.code = code
 
 
@@ -78,29 +96,42 @@ class Identity(NamedTuple):
     confidence: int = 2
 
 
+#: ``pii:<scope>`` or ``pii:family:<scope>:<name>``; a scope is ``global`` or a country.
+SELECTOR = re.compile(r"pii:(?P<scope>global|[a-z]{2})|pii:family:(?P<family>(?:global|[a-z]{2}):[a-z0-9]+(?:-[a-z0-9]+)*)")
+
+
+def canonical(selectors: tuple[str, ...]) -> tuple[str, ...]:
+    """Each selector once, sorted; ``pii`` is short for ``pii:global``."""
+    return tuple(sorted({"pii:global" if s == "pii" else s for s in selectors}))
+
+
 def families_of(selectors: tuple[str, ...]) -> tuple[str, ...]:
-    """The families that selectors turn on: ``pii``, ``pii:global``, ``pii:us``, ``pii:family:<name>``."""
+    """The families that selectors turn on. A country's selector turns the global families on too."""
     chosen = set()
-    if len(set(selectors)) != len(selectors):
-        raise PiiError("PII_DUPLICATE_SELECTOR")
-    for s in selectors:
-        if s == "pii":
-            chosen |= set(FAMILIES)
-        elif s == "pii:global":
-            chosen |= {f for f, v in FAMILIES.items() if v[2] is None}
-        elif s == "pii:us":
-            chosen |= {f for f, v in FAMILIES.items() if v[2] == "us"}
-        elif s.startswith("pii:family:") and s.removeprefix("pii:family:").removeprefix("global-").removeprefix("jurisdiction-") in FAMILIES:
-            chosen.add(s.removeprefix("pii:family:").removeprefix("global-").removeprefix("jurisdiction-"))
-        elif re.fullmatch(r"pii(:[a-z0-9-]+)*", s):
-            raise PiiError("PII_UNKNOWN_SELECTOR")
+    for s in canonical(selectors):
+        parts = SELECTOR.fullmatch(s)
+        if not parts:
+            raise PiiError("PII_SELECTOR_INVALID")
+        if parts["family"]:
+            wanted = {f"pii:{parts['family']}"}
+            if wanted <= set(UNAVAILABLE):
+                raise PiiError("PII_SELECTOR_UNAVAILABLE")
+            own = {f for f, i in IDS.items() if i in wanted}
         else:
-            raise PiiError("PII_INVALID_SELECTOR")
+            scopes = {"global", parts["scope"]}
+            if parts["scope"] not in {i.split(":")[1] for i in IDS.values()}:
+                raise PiiError("PII_SELECTOR_UNSUPPORTED")
+            own = {f for f, i in IDS.items() if i.split(":")[1] in scopes}
+        if not own:
+            raise PiiError("PII_SELECTOR_UNSUPPORTED")
+        chosen |= own
     return tuple(f for f in FAMILIES if f in chosen)
 
 
 def activation(credentials: str, selectors: tuple[str, ...]) -> str:
-    return f"credentials={credentials};selectors={','.join(sorted(selectors))};families={','.join(families_of(selectors))};vocabulary=pii-context/v2"
+    """What is turned on, as one line that is equal for equal selections."""
+    ids = sorted(IDS[f] for f in families_of(selectors))
+    return f"credentials={credentials};selectors={','.join(canonical(selectors)) or 'off'};families={','.join(ids)};vocabulary=pii-context/v2"
 
 
 _ATEXT = r"[^\W_]|[!#$%&'*+/=?^_`{|}~-]"

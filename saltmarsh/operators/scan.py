@@ -201,6 +201,8 @@ def rows_of(found: list[Candidate]) -> list[dict]:
 def detect(df: DataFrame, text_col: str = "text", config: ScanConfig = ScanConfig()) -> DataFrame:
     """``df`` with ``findings``, an array of structs in order, and ``error``, null or a struct of code and message.
 
+    They replace columns of these names.
+
     One pass without a shuffle: batches of text go to a Python worker over Arrow; a multi-
     pattern search says which detectors can match at all, and most texts end there. A text
     over a limit has an error and no findings; others go on. A null text has neither.
@@ -222,10 +224,11 @@ def detect(df: DataFrame, text_col: str = "text", config: ScanConfig = ScanConfi
             errors.append(error)
         return pd.DataFrame({"findings": findings, "error": errors})
 
-    scanned = df.withColumn("_scan", scan(F.col(text_col)))
+    others = [c for c in df.columns if c not in ("findings", "error")]
+    scanned = df.select(*others, scan(F.col(text_col)).alias("_scan"))
     message = F.create_map(*[F.lit(x) for pair in ERRORS.items() for x in pair])
     error = F.when(F.col("_scan.error").isNotNull(), F.struct(F.col("_scan.error").alias("code"), message[F.col("_scan.error")].alias("message")))
-    return scanned.select(*df.columns, F.col("_scan.findings").alias("findings"), error.alias("error"))
+    return scanned.select(*others, F.col("_scan.findings").alias("findings"), error.alias("error"))
 
 
 def with_actions(df: DataFrame, policy: ActionPolicy | None = None) -> DataFrame:

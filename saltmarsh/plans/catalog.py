@@ -391,7 +391,7 @@ _PII_TEXT = (
 )
 _add(
     "pii_sensitive",
-    lambda spark, d: scan_and_redact(_read(spark, d, "orders", "o_orderkey").withColumn("text", F.expr(_PII_TEXT)), config=ScanConfig(profile="common", pii=("pii",)), typed=True).select("o_orderkey", "text"),
+    lambda spark, d: scan_and_redact(_read(spark, d, "orders", "o_orderkey").withColumn("text", F.expr(_PII_TEXT)), config=ScanConfig(profile="common", pii=("pii:us",)), typed=True).select("o_orderkey", "text"),
     "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ssn: <PII_JURISDICTION_US_SSN_1>' WHEN 1 THEN 'client ip = <PII_GLOBAL_NETWORK_ADDRESS_1>' WHEN 2 THEN 'email: <PII_GLOBAL_EMAIL_1>' WHEN 3 THEN concat('note 219-09-', lpad(cast(o_orderkey % 9000 + 1000 as string), 4, '0')) ELSE 'phone: <PII_GLOBAL_PHONE_1>' END AS text FROM orders",
 )
 
@@ -461,7 +461,7 @@ _add(
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents scanned and redacted with every detector, personal data and a ruleset."""
-    config = ScanConfig(pii=("pii",), ruleset=RULESET)
+    config = ScanConfig(pii=("pii:us",), ruleset=RULESET)
     clean = scan_and_redact(_read(spark, sf_dir, "documents", "doc_id", "text"), config=config)
     return clean.select("doc_id", "text", F.size("findings").alias("findings"), F.col("error.code").alias("error"))
 

@@ -16,7 +16,7 @@ def test_resolve_a_whole_request():
 def test_what_is_wrong_with_requests():
     codes = lambda doc: [d["code"] for d in resolve(doc if isinstance(doc, str) else json.dumps(doc)).diagnostics]
     assert codes("{") == ["MALFORMED_JSON"] and codes([]) == ["WRONG_TYPE"] and codes({"more": 1, "include": "jwt"}) == ["UNKNOWN_KEY", "WRONG_TYPE"]
-    assert codes({"include": ["x"], "pii": ["pii:moon"], "maxFindings": 0, "ruleset": "x", "actionPolicy": "{"}) == ["UNKNOWN_ID", "PII_UNKNOWN_SELECTOR", "LIMIT_OUT_OF_BOUNDS", "UNSUPPORTED_CONSTRUCT", "MALFORMED_JSON"]
+    assert codes({"include": ["x"], "pii": ["pii:moon"], "maxFindings": 0, "ruleset": "x", "actionPolicy": "{"}) == ["UNKNOWN_ID", "PII_SELECTOR_INVALID", "LIMIT_OUT_OF_BOUNDS", "UNSUPPORTED_CONSTRUCT", "MALFORMED_JSON"]
     many = resolve(json.dumps({f"k{i}": 1 for i in range(300)}))
     assert not many.ok and many.truncated and len(many.diagnostics) == 256
 

@@ -262,13 +262,35 @@ def test_personal_data(text, want):
     assert got == ([want] if want else [])
 
 
-def test_selectors():
-    assert pii.families_of(()) == () and len(pii.families_of(("pii",))) == 6
-    assert pii.families_of(("pii:us", "pii:family:email")) == ("email", "us-ssn")
-    for bad, code in ((("pii", "pii"), "PII_DUPLICATE_SELECTOR"), (("pii:moon",), "PII_UNKNOWN_SELECTOR"), (("PII",), "PII_INVALID_SELECTOR")):
-        with pytest.raises(pii.PiiError) as e:
-            pii.families_of(bad)
-        assert e.value.code == code
+# Published cases, as fixed values: selectors, their canonical form and their families.
+GLOBAL = "pii:global:email,pii:global:iban,pii:global:network-address,pii:global:payment-card,pii:global:phone"
+ACTIVATIONS = [
+    ((), "off", ""),
+    (("pii:global", "pii", "pii:global"), "pii:global", GLOBAL),
+    (("pii:us",), "pii:us", GLOBAL + ",pii:us:ssn"),
+    *[((f"pii:family:{i}",), f"pii:family:{i}", f"pii:{i}") for i in ("global:email", "global:iban", "global:network-address", "global:payment-card", "global:phone", "us:ssn")],
+]
+
+
+@pytest.mark.parametrize("selectors,canonical,families", ACTIVATIONS)
+def test_activations(selectors, canonical, families):
+    assert pii.activation("full", selectors) == f"credentials=full;selectors={canonical};families={families};vocabulary=pii-context/v2"
+
+
+@pytest.mark.parametrize(
+    "selector,code",
+    [("PII", "INVALID"), ("pii:moon", "INVALID"), ("pii:family:email", "INVALID"), ("pii:family:us:a--b", "INVALID"), ("pii:kr", "UNSUPPORTED"), ("pii:family:kr:x", "UNSUPPORTED"), ("pii:family:global:ambiguous-national-id", "UNAVAILABLE")],
+)
+def test_faulty_selectors(selector, code):
+    with pytest.raises(pii.PiiError) as e:
+        pii.families_of((selector,))
+    assert e.value.code == f"PII_SELECTOR_{code}" and str(e.value) == pii.SELECTOR_ERRORS[e.value.code]
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "nothing here", "mine", "mine")], "id long, text string, findings string, error string")
+    out = scan(df)
+    assert out.columns == ["id", "text", "findings", "error"] and out.head().findings == []
 
 
 # Published vectors of the feature schema.
