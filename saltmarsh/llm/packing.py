@@ -23,51 +23,76 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Shelf:
-    """Lengths that are still to be had, with their counts, indexed as bits of an integer."""
+    """Lengths that are still to be had, with their counts, and a hashed index of the sums of one, two and three of them.
+
+    ``pairs`` and ``triples`` have for a sum the combination with the largest first length that the
+    counts allow, () for none; they are filled as sums are asked for, ``capacity`` entries each at
+    most. Counts only fall, so a combination that they no longer allow never comes back: the next
+    one is looked for below it.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.capacity = capacity
         self.left = [0] * (capacity + 1)
         self.bits = 0  # bit i: length i is there
         self.mirror = 0  # bit capacity - i: length i is there
+        self.pairs: dict[int, tuple[int, ...]] = {}
+        self.triples: dict[int, tuple[int, ...]] = {}
         for length, n in counts.items():
-            self.add(length, n)
+            self.left[length] = n
+            self._turn(length)
+
+    def _turn(self, length: int) -> None:
+        self.bits ^= 1 << length
+        self.mirror ^= 1 << (self.capacity - length)
 
-    def add(self, length: int, n: int) -> None:
-        had = self.left[length]
-        self.left[length] = had + n
-        if bool(had) != bool(had + n):
-            self.bits ^= 1 << length
-            self.mirror ^= 1 << (self.capacity - length)
+    def take(self, length: int, n: int) -> None:
+        self.left[length] -= n
+        if n and not self.left[length]:
+            self._turn(length)
 
     def largest(self, limit: int) -> int:
         """The largest length there up to ``limit``; 0 if none."""
         return max(0, (self.bits & ((2 << limit) - 1)).bit_length() - 1)
 
-    def pair(self, total: int) -> tuple[int, int] | None:
-        """Two lengths there that add up to ``total``, the first as large as can be."""
+    def allows(self, combination: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= combination.count(x) for x in combination)
+
+    def _search(self, total: int, below: int, beside: tuple[int, ...] = ()) -> tuple[int, ...]:
+        """Two lengths that add up to ``total``, the first as large as can be under ``below``, which can be had together with ``beside``."""
         # bit a of the shifted mirror: length total - a is there
-        sums = self.bits & (self.mirror >> (self.capacity - total)) & ((1 << total) - 1)
-        if total % 2 == 0 and self.left[total // 2] == 1:
-            sums &= ~(1 << (total // 2))
-        a = sums.bit_length() - 1
-        return (a, total - a) if a > 0 else None
-
-    def fill(self, gap: int) -> tuple[int, ...] | None:
-        """One, two or three lengths there that fill ``gap`` exactly."""
-        if self.left[gap]:
-            return (gap,)
-        if found := self.pair(gap):
-            return found
-        a = self.largest(gap - 2)
-        while a * 3 >= gap:
-            self.add(a, -1)
-            found = self.pair(gap - a)
-            self.add(a, 1)
-            if found:
-                return (a, *found)
-            a = self.largest(a - 1)
-        return None
+        sums = self.bits & (self.mirror >> (self.capacity - total)) & ((1 << below) - 1)
+        while (a := sums.bit_length() - 1) > 0:
+            if self.allows((a, total - a, *beside)):
+                return (a, total - a)
+            sums ^= 1 << a
+        return ()
+
+    def pair(self, total: int) -> tuple[int, ...]:
+        """Two lengths there that add up to ``total``, the first as large as can be."""
+        found = self.pairs.get(total)
+        if found is None or not self.allows(found):
+            found = self.pairs[total] = self._search(total, found[0] if found else total)
+        return found
+
+    def triple(self, total: int) -> tuple[int, ...]:
+        """Three lengths there that add up to ``total``, the first as large as can be."""
+        found = self.triples.get(total)
+        if found is None or not self.allows(found):
+            a = self.largest(found[0] if found else total - 2)
+            found = ()
+            while not found and a * 3 >= total:
+                rest = self.pair(total - a)
+                if rest and not self.allows((a, *rest)):
+                    rest = self._search(total - a, total - a, (a,))
+                found = (a, *rest) if rest else ()
+                a = self.largest(a - 1)
+            self.triples[total] = found
+        return found
+
+    def fill(self, gap: int) -> tuple[int, ...]:
+        """One, two or three lengths there that fill ``gap`` exactly; () if none do."""
+        return (gap,) if self.left[gap] else self.pair(gap) or self.triple(gap)
 
 
 def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -85,13 +110,13 @@ def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         while gap and (length := shelf.largest(gap)):
             found = (length,) if not combination else shelf.fill(gap) or (length,)
             for x in found:
-                shelf.add(x, -1)
+                shelf.take(x, 1)
             combination += found
             gap -= sum(found)
         uses = Counter(combination)
         more = min(shelf.left[x] // n for x, n in uses.items())
         for x, n in uses.items():
-            shelf.add(x, -n * more)
+            shelf.take(x, n * more)
         made.append((tuple(combination), 1 + more))
     return made
 
