@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saltmarsh.llm.scratch import _path, materialize
-from saltmarsh.llm.skew import join_group
+from saltmarsh.llm.skew import filter_of, join_group, maybe_member
 from saltmarsh.llm.tokens import in_portions, tokenizer, version_of
 from saltmarsh.llm.worker import small_batches, task
 
@@ -49,8 +49,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, normalis
 
     1. Each row gets a digest of its normalised content (SHA-256); the distinct ones are
        joined with the counts stored under this tokenizer file's digest.
-    2. Only distinct misses are encoded: for each the row with the smallest id brings the
-       text, so a group of copies moves one text, whatever its size.
+    2. Only distinct misses are encoded. Texts that a bit filter tells to be neither repeated
+       nor stored are encoded where they are read. Of the rest the row with the smallest id
+       brings the text: a second filter picks these rows and a join on their keys makes sure,
+       so a group of copies moves one text, whatever its size.
     3. The new counts are appended to the cache, a Parquet table by tokenizer digest, and
        all rows are joined with it; groups of copies that are hot meet it by broadcast.
 
@@ -69,10 +71,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str, normalis
     content = content.withColumn("content_digest", F.unhex(F.sha2("_content", 256)))
     rows = materialize(content.select("_id", "_key", "n_bytes", "content_digest"), "digests")
     groups = rows.groupBy("content_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_key"))
+    stored = read_cache(spark, cache_path, version).select("content_digest", F.lit(True).alias("_stored"))
+    groups = groups.join(stored, "content_digest", "left").withColumn("_stored", F.col("_stored").isNotNull())
     groups = materialize(groups, "digest-groups")
-    misses = groups.join(read_cache(spark, cache_path, version), "content_digest", "left_anti").select("content_digest", "_key")
-    misses = materialize(misses, "misses")
-    texts = content.select("_key", "content_digest", "_content").join(misses, ["_key", "content_digest"], "left_semi").select("content_digest", "_content")
+    own, bringer = F.xxhash64("content_digest"), F.xxhash64("_key", "content_digest")
+    doubtful = filter_of(groups.where("_n > 1 or _stored"), own)
+    chosen = maybe_member(groups.where("not _stored"), doubtful, own, "_doubt").where("_doubt").select("_key", "content_digest")
+    chosen = materialize(chosen, "chosen")
+    texts = maybe_member(content.select("_key", "content_digest", "_content"), doubtful, own, "_doubt")
+    brought = maybe_member(texts.where("_doubt"), filter_of(chosen, bringer), bringer, "_hit").where("_hit")
+    brought = brought.join(chosen, ["_key", "content_digest"], "left_semi")
+    texts = texts.where("not _doubt").select("content_digest", "_content").unionByName(brought.select("content_digest", "_content"))
     counted = texts.mapInArrow(_encoder(tokenizer_path), "content_digest binary, n_tokens long")
     counted = counted.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.withColumn("tokenizer_digest", F.lit(version)).write.mode("append").partitionBy("tokenizer_digest").parquet(cache_path)
