@@ -53,7 +53,7 @@ class Shelf:
 
     def largest(self, limit: int) -> int:
         """The largest length there up to ``limit``; 0 if none."""
-        return max(0, (self.bits & ((2 << limit) - 1)).bit_length() - 1)
+        return max(0, (self.bits & ((1 << limit + 1) - 1)).bit_length() - 1)
 
     def allows(self, combination: tuple[int, ...]) -> bool:
         return all(self.left[x] >= combination.count(x) for x in combination)

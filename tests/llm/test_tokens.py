@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 import saltmarsh.llm.tokens as tokens
 from saltmarsh.llm import token_counts as counts_module
 from saltmarsh.llm.mixing import mix, word_count
-from saltmarsh.llm.packing import pack_documents, pack_lengths, slots_of
+from saltmarsh.llm.packing import Shelf, pack_documents, pack_lengths, slots_of
 from saltmarsh.llm.queries import mixed, vocabulary
 from saltmarsh.llm.scratch import new_path
 from saltmarsh.llm.token_counts import token_counts
@@ -189,3 +189,22 @@ def test_long_chunks_bare_and_with_signs_in_one_portion():
     for _ in range(2):
         assert own.ids([t.encode() for t in texts]) == want
         assert max(map(len, own.young)) <= tokens.LONG
+
+
+def test_index_of_sums_finds_a_filling_while_there_is_one():
+    import itertools
+    import random
+
+    chance = random.Random(3)
+    for _ in range(200):
+        counts = {chance.randint(1, 30): chance.randint(1, 3) for _ in range(chance.randint(0, 9))}
+        shelf = Shelf(counts, 40)
+        for _ in range(30):
+            gap = chance.randint(1, 40)
+            there = [x for x, n in enumerate(shelf.left) for _ in range(n)]
+            found = shelf.fill(gap)
+            assert bool(found) == any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(there, k))
+            if found:
+                assert sum(found) == gap and shelf.allows(found)
+                for x in found:
+                    shelf.take(x, 1)
