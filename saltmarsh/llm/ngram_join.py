@@ -40,6 +40,10 @@ PAIRED = 32
 BLOCK = 1024
 #: Shingles that a block comparison holds at once.
 COLUMNS = 4096
+#: Bits of the shortest and of the longest signature.
+SIGNATURE_LEAST, SIGNATURE_MOST = 1 << 6, 1 << 17
+#: A row of a long list names so many longer lists of its class; a block comparison heeds so many of them.
+NAMED, HEEDED = 16, 512
 # What a posting's ``info`` holds, from the lowest bit: name -> bits.
 FIELDS = {"ell": 6, "central": 5, "salt": 8, "base": 1}
 
@@ -243,16 +247,20 @@ def _could_link(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _sets(source: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The shingles of the classes in ``nodes``, from the texts of their representatives.
+def _texts(source: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The texts of the representatives of the classes in ``nodes``, and some more.
 
     A bit filter picks the texts, so none is shuffled; chance hits and copies do no harm.
     """
     slot = F.xxhash64("_rep")
     wanted = filter_of(nodes.join(classes.select("node", "_rep"), "node"), slot)
-    texts = maybe_member(source, wanted, F.xxhash64("_id"), "_hit").where("_hit").select("_text")
+    return maybe_member(source, wanted, F.xxhash64("_id"), "_hit").where("_hit").select("_text")
+
+
+def _sets(source: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The shingles of the classes in ``nodes``, from the texts of their representatives."""
     own = F.xxhash64("node")
-    found = texts.mapInArrow(_sets_of, "node long, shingles array<long>")
+    found = _texts(source, classes, nodes).mapInArrow(_sets_of, "node long, shingles array<long>")
     return materialize(maybe_member(found, filter_of(nodes, own), own, "_hit").where("_hit").drop("_hit"), "sets")
 
 
@@ -300,16 +308,125 @@ def block_links(nodes: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: l
     return out
 
 
-def _blockwise(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) in long lists (token, node, comp, _n): each pair of blocks is a group of its own.
+def signature(shingles: np.ndarray) -> bytes:
+    """For each of 2 ** k slots, as many as there are shingles or more, whether an odd number of shingles falls there.
 
-    A group has two blocks at most, whatever the list's length, and yields fewer links than it has classes.
+    Two signatures of one length differ in no more bits than the sets have shingles that
+    only one of them has. Half a signature's bits are its two halves, one xored with the other.
     """
-    parts = F.ceil(F.col("_n") / BLOCK).cast("int")
+    bits = min(max(SIGNATURE_LEAST, 1 << (len(shingles) - 1).bit_length()), SIGNATURE_MOST)
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+@task("shingles")
+def _signatures_of(batches):
+    """Each class's set size and signature, once in a task."""
+    import pyarrow as pa
+
+    seen = set()
+    for batch in batches:
+        for portion in in_portions(batch.column("_text")):
+            rows = []
+            if len(seen) > MET:
+                seen.clear()
+            for s in shingle_sets([data for _, data in portion]):
+                if len(s) and (node := _class_of(s)) not in seen:
+                    seen.add(node)
+                    rows.append((node, len(s), signature(s)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "signature"])
+
+
+def _heeded(lists: list[list[int]]) -> np.ndarray:
+    """For each member a bit for each of the ``HEEDED`` commonest of ``lists``."""
+    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values, where, counts = np.unique(np.concatenate([np.array(x, np.int64) for x in lists]), return_inverse=True, return_counts=True)
+    place = np.full(len(values), -1)
+    most = np.argsort(-counts, kind="stable")[:HEEDED]
+    place[most] = np.arange(len(most))
+    column = place[where]
+    bits = np.zeros((len(lists), HEEDED), dtype=np.uint8)
+    bits[rows[column >= 0], column[column >= 0]] = 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def close_members(comps: np.ndarray, sides: np.ndarray, sizes: np.ndarray, signatures: list[bytes], before: list[list[int]], percent: int) -> np.ndarray:
+    """Which members may link with one of the other side (or of the same, if there is one side) in another component.
+
+    d shingles that only one of two sets has allow the similarity where d * (100 + percent) <=
+    (100 - percent) * the sum of their sizes; signatures bound d from below, so no link is missed.
+    Two that share one of the lists ``before`` this one are compared there.
+    """
+    met = _heeded(before)
+    out = np.zeros(len(sizes), dtype=bool)
+    lengths = np.array([len(s) for s in signatures])
+    of = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths).tolist()}
+    bits = {n: np.frombuffer(b"".join(signatures[i] for i in at), np.uint64).reshape(len(at), n // 8) for n, at in of.items()}
+
+    def folded(x: np.ndarray, words: int) -> np.ndarray:
+        while x.shape[1] > words:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        return x
+
+    for n, at in of.items():
+        for m, to in of.items():
+            mine, theirs = np.flatnonzero(sides[at] == 0), np.flatnonzero(sides[to] == sides.max())
+            theirs = theirs[np.argsort(sizes[to[theirs]], kind="stable")]
+            left, right = at[mine], to[theirs]
+            first = np.searchsorted(sizes[right], -(-percent * sizes[left] // 100))
+            last = np.searchsorted(sizes[right], 100 * sizes[left] // percent, "right")
+            if not (first < last).any():
+                continue
+            x, y = folded(bits[n][mine], min(n, m) // 8), folded(bits[m][theirs], min(n, m) // 8)
+            for k in np.flatnonzero(first < last).tolist():
+                others = right[first[k] : last[k]]
+                new = np.flatnonzero((comps[others] != comps[left[k]]) & ~(met[others] & met[left[k]]).any(axis=1))
+                if not len(new):
+                    continue
+                apart = np.bitwise_count(y[first[k] + new] ^ x[k]).sum(axis=1, dtype=np.int64)
+                near = new[apart * (100 + percent) <= (100 - percent) * (sizes[others[new]] + sizes[left[k]])]
+                if len(near):
+                    out[left[k]] = True
+                    out[others[near]] = True
+    return out
+
+
+def _close(rows: DataFrame, source: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Of long lists (token, node, comp, _n), in each pair (i, j) of blocks the members that may link there.
+
+    Only signatures go to every pair of blocks, a bit or two for each shingle. Two classes
+    are compared in the longest list that they share: rows name the lists before theirs.
+    """
+    nodes = rows.select("node").distinct()
+    own = F.xxhash64("node")
+    signed = _texts(source, classes, nodes).mapInArrow(_signatures_of, "node long, n long, signature binary")
+    signed = materialize(maybe_member(signed, filter_of(nodes, own), own, "_hit").where("_hit").drop("_hit").dropDuplicates(["node"]), "signatures")
+    lists = rows.groupBy("node", "comp").agg(F.sort_array(F.collect_list(F.struct((-F.col("_n")).alias("less"), "token"))).alias("lists"))
+    each = lists.join(signed, "node").select("node", "comp", "n", "signature", "lists", F.posexplode("lists").alias("at", "_list"))
+    before = F.slice("lists.token", F.lit(1), F.least(F.col("at"), F.lit(NAMED)))
+    parts = F.ceil(-F.col("_list.less") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), parts.cast("long")).cast("int")
-    dealt = rows.select("token", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "node", "comp")
-    held = dealt.join(sets, "node")
+    each = each.select(F.col("_list.token").alias("token"), "node", "comp", "n", "signature", before.alias("before"), own.alias("own"), parts.alias("parts"))
+    dealt = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "node", "comp", "n", "signature", "before")
+
+    def pick(table):
+        import pyarrow as pa
+
+        comps, sides, sizes = (table.column(c).to_numpy() for c in ("comp", "side", "n"))
+        close = close_members(comps, sides, sizes, table.column("signature").to_pylist(), table.column("before").to_pylist(), percent) if len(comps) > 1 and (comps != comps[0]).any() else np.zeros(len(comps), dtype=bool)
+        return table.select(["token", "i", "j", "side", "node", "comp"]).filter(pa.array(close))
+
+    return materialize(dealt.groupBy("token", "i", "j").applyInArrow(pick, "token long, i int, j int, side int, node long, comp long"), "close")
+
+
+def _blockwise(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the members of pairs of blocks (token, i, j, side, node, comp): each pair is a group of its own.
+
+    A group has two blocks at most, whatever the list's length, and yields fewer links than it has classes.
+    """
+    held = close.join(sets, "node")
 
     def compare(table):
         import pyarrow as pa
@@ -354,7 +471,8 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
        pairs between components that may reach the similarity by their sizes, share enough
        prefix shingles (long lists count as shared) and weren't verified; these are verified
        too. Of long lists only the prefixes for one common shingle are needed: they are cut
-       into blocks, and each two blocks compared whole in a task, by matrix products, which
+       into blocks, and each two blocks compared in a task by signatures, of a bit or two for
+       each shingle. Members that may link there are compared whole, by matrix products, which
        yields a forest of links. Pairs inside a component can't change it, so no list is
        expanded to all its pairs as rows.
 
@@ -389,8 +507,9 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     need = F.least("ell_a", "ell_b") - F.least("g_a", "g_b")
     shared = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("_m"), F.min(need).alias("_need"))
     pairs = materialize(shared.where("_m >= _need").join(stars, ["a", "b"], "left_anti").select("a", "b"), "pairs")
-    sets = _sets(source, classes, _ends(pairs).unionByName(long_.where("base = 1").select("node")).distinct())
-    more = _verified(pairs, sets, percent).unionByName(_blockwise(long_.where("base = 1"), sets, percent))
+    close = _close(long_.where("base = 1"), source, classes, percent)
+    sets = _sets(source, classes, _ends(pairs).unionByName(close.select("node")).distinct())
+    more = _verified(pairs, sets, percent).unionByName(_blockwise(close, sets, percent))
     more = materialize(more, "verified")
     if more.take(1):
         comps = components(links.unionByName(more))

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,56 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, paired, block, freque
     assert sorted(map(repr, got)) == sorted(map(repr, brute_force(rows)))
 
 
+def test_signatures_miss_no_link():
+    """Sets around every size at which signatures grow, some longer than the longest signature."""
+    rng = np.random.default_rng(3)
+    for percent in (50, 75, 90):
+        sets = []
+        for n in [1, 2, 5, 63, 64, 65, 120, 128, 129, 140, 500, 520] * 3:
+            whole = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            sets += [whole, whole[: -(-n * percent // 100)], np.concatenate([whole, rng.integers(0, 1 << 63, n * (100 - percent) // percent, dtype=np.uint64)]), rng.permutation(np.concatenate([whole[n // 8 :], sets[-1][: n // 8]])) if sets else whole]
+        n = np.array([len(s) for s in sets])
+        for sides in (np.zeros(len(sets), int), rng.integers(0, 2, len(sets))):
+            close = join.close_members(np.arange(len(sets)), sides, n, [join.signature(s) for s in sets], [[]] * len(sets), percent)
+            links = 0
+            for i in range(len(sets)):
+                for j in range(len(sets)):
+                    common = len(np.intersect1d(sets[i], sets[j]))
+                    if i != j and (sides[i] < sides[j] or not sides.any()) and 100 * common >= percent * (n[i] + n[j] - common):
+                        links += 1
+                        assert close[i] and close[j]
+            assert links > 40
+    apart = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in range(100, 400)]
+    assert join.close_members(np.arange(300), np.zeros(300, int), np.array([len(s) for s in apart]), [join.signature(s) for s in apart], [[]] * 300, 75).sum() < 3
+
+
+def test_pairs_are_compared_in_one_list_only():
+    one = join.signature(np.arange(50, dtype=np.uint64))
+    flags = join.close_members(np.arange(4), np.zeros(4, int), np.full(4, 50), [one] * 4, [[7, -3], [-3], [8], [7, 8]], 75)
+    assert flags.tolist() == [True, True, True, True]  # 0 with 2, 1 with 2, 1 with 3
+    flags = join.close_members(np.arange(3), np.zeros(3, int), np.full(3, 50), [one] * 3, [[7, -3], [-3, 9], [9, 7]], 75)
+    assert not flags.any()
+
+
+def test_whole_sets_of_long_lists_are_not_dealt_for_every_list(spark, monkeypatch):
+    """Documents that are not quite alike share many long lists; their sets were dealt to every block of each of these."""
+    monkeypatch.setattr(join, "BLOCK", 16)
+    dealt, blockwise = [], join._blockwise
+    monkeypatch.setattr(join, "_blockwise", lambda rows, *rest: dealt.append(rows.count()) or blockwise(rows, *rest))
+    rng = random.Random(5)
+    rows = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(60):
+            words = list(base)
+            for k in rng.sample(range(100), 3):
+                words[k] = f"w{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    got = [tuple(r) for r in join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(brute_force(rows))
+    assert dealt and dealt[0] < 4 * len(rows)
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert join.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
