@@ -224,7 +224,10 @@ def _lists(docs: DataFrame, classes: DataFrame, frequent, percent: int) -> DataF
     enough = materialize(enough, "open-classes")
     slot = F.xxhash64("node")
     kept = maybe_member(several, filter_of(enough, slot), slot, "_hit").where("_hit").join(enough, "node")
-    return kept.select("token", "node", "n", *[_field(f).alias(f) for f in FIELDS]).distinct()
+    lists = materialize(kept.select("token", "node", "n", *[_field(f).alias(f) for f in FIELDS]).distinct(), "lists")
+    discard(several)
+    discard(enough)
+    return lists
 
 
 def _stars(posted: DataFrame, percent: int) -> DataFrame:
@@ -418,7 +421,9 @@ def _close(rows: DataFrame, source: DataFrame, classes: DataFrame, percent: int)
         close = close_members(comps, sides, sizes, table.column("signature").to_pylist(), table.column("before").to_pylist(), percent) if len(comps) > 1 and (comps != comps[0]).any() else np.zeros(len(comps), dtype=bool)
         return table.select(["token", "i", "j", "side", "node", "comp"]).filter(pa.array(close))
 
-    return materialize(dealt.groupBy("token", "i", "j").applyInArrow(pick, "token long, i int, j int, side int, node long, comp long"), "close")
+    close = materialize(dealt.groupBy("token", "i", "j").applyInArrow(pick, "token long, i int, j int, side int, node long, comp long"), "close")
+    discard(signed)
+    return close
 
 
 def _blockwise(close: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -488,15 +493,19 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     classes = materialize(classes, "classes")
     frequent = spark.sparkContext.broadcast(_frequent(signed))
 
-    posted = materialize(_lists(source, classes, frequent, percent), "lists")
+    posted = _lists(source, classes, frequent, percent)
     stars = materialize(_stars(posted, percent), "stars")
-    links = materialize(_verified(stars, _sets(source, classes, _ends(stars)), percent), "verified")
+    sets = _sets(source, classes, _ends(stars))
+    links = materialize(_verified(stars, sets, percent), "verified")
+    discard(sets)
     comps = components(links)
 
     placed = materialize(posted.join(comps, "node", "left").select("token", "node", "n", "ell", "base", F.coalesce("comp", "node").alias("comp")), "placed")
+    discard(posted)
     split = placed.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_from"), F.max("comp").alias("_to")).where("_from <> _to").select("token", "_n")
     split = materialize(split, "split")
     open_ = materialize(join_group(placed, split, ["token"], "_n", placed.count(), "inner"), "open")
+    discard(placed)
     long_ = open_.where(F.col("_n") > PAIRED)
     elsewhere = long_.groupBy("node").agg(F.count(F.lit(1)).alias("_g"))
     short = open_.where(F.col("_n") <= PAIRED).join(elsewhere, "node", "left").withColumn("g", F.coalesce("_g", F.lit(0)))
@@ -511,6 +520,8 @@ def ngram_join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     sets = _sets(source, classes, _ends(pairs).unionByName(close.select("node")).distinct())
     more = _verified(pairs, sets, percent).unionByName(_blockwise(close, sets, percent))
     more = materialize(more, "verified")
+    for table in (stars, open_, short, pairs, close, sets):
+        discard(table)
     if more.take(1):
         comps = components(links.unionByName(more))
 

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -15,6 +16,7 @@ from saltmarsh.llm import queries
 from saltmarsh.llm.components import components
 from saltmarsh.llm.langid import fit_languages, predict_languages
 from saltmarsh.llm.quality import classify_quality
+from saltmarsh.llm.scratch import scratch_root
 
 SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 FOLD = {i: i + 32 for i in range(65, 91)}
@@ -120,6 +122,15 @@ def test_whole_sets_of_long_lists_are_not_dealt_for_every_list(spark, monkeypatc
     assert dealt and dealt[0] < 4 * len(rows)
 
 
+def test_ngram_join_leaves_no_table_that_nothing_reads(spark):
+    held = lambda: {p.name for p in Path(scratch_root(spark)).glob("*")}
+    before = held()
+    rows = [(i, " ".join(f"w{(i // 4 * 50 + k * k) % 997}" for k in range(60 - i % 4))) for i in range(80)]
+    assert len(join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 80
+    left = {name.rpartition("-")[0] for name in held() - before}
+    assert "signed" in left and not left & {"postings", "open-classes", "lists", "stars", "sets", "placed", "open", "short", "pairs", "signatures", "close"}
+
+
 def test_ngram_join_of_an_empty_table(spark):
     assert join.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
