@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,12 +102,126 @@ def features(value: str) -> list[int]:
     ]
 
 
+#: Fewer values of one length are taken one by one.
+LEAST_TOGETHER = 8
+#: Values are taken together up to so many characters.
+TOGETHER = 1 << 18
+#: Binary logarithms of all counts and sizes of alphabets that values have.
+LOG2 = np.array([log2_q16(x) for x in range(2 * MOST_SYMBOLS + 1)], dtype=np.int64)
+CLASS_OF = np.array([_class(x) for x in range(0x81)], dtype=np.int64)
+SIZES = np.array(CLASS_SIZES, dtype=np.int64)
+
+
+def _permilles(a: np.ndarray, b) -> np.ndarray:
+    return 1000 * a // np.maximum(b, 1) * (np.asarray(b) > 0)
+
+
+class Counts:
+    """How often each symbol is in each row of a table; negative ones are none. Rows and symbols in order, as flat arrays."""
+
+    def __init__(self, s: np.ndarray):
+        self.rows, n = s.shape
+        flat = np.sort(s, axis=1).ravel()
+        first = np.empty(flat.size, dtype=bool)
+        first[0] = True
+        np.not_equal(flat[1:], flat[:-1], out=first[1:])
+        first[::n] = True
+        at = np.flatnonzero(first)
+        counts = np.diff(at, append=flat.size)
+        there = flat[at] >= 0
+        self.row, self.symbol, self.count = (at // n)[there], flat[at][there], counts[there]
+
+    def added(self, x: np.ndarray) -> np.ndarray:
+        """Sums of ``x`` by row; exact, as they stay far below 2^53."""
+        return np.bincount(self.row, weights=x, minlength=self.rows).astype(np.int64)
+
+    def entropies(self) -> tuple[np.ndarray, np.ndarray]:
+        n, most = self.added(self.count), np.zeros(self.rows, dtype=np.int64)
+        np.maximum.at(most, self.row, self.count)
+        h = np.maximum(0, LOG2[n] - self.added(self.count * LOG2[self.count]) // np.maximum(n, 1))
+        return np.where(n > 0, h, 0), np.where(n > 0, np.maximum(0, LOG2[n] - LOG2[most]), 0)
+
+
+def _known(s: np.ndarray) -> np.ndarray:
+    """What ``residual`` leaves out, for values of one length."""
+    known = np.zeros(s.shape, dtype=bool)
+    known[:, 1:] = s[:, 1:] == s[:, :-1]
+    known[:, 2:] |= s[:, 2:] + s[:, :-2] == 2 * s[:, 1:-1]
+    known[:, 4:] |= s[:, 4:] + s[:, :-4] == 2 * s[:, 2:-2]
+    if s.shape[1] > 3:
+        threes = (s[:, :-2] << 42) | (s[:, 1:-1] << 21) | s[:, 2:]
+        order = np.argsort(threes, axis=1, kind="stable")
+        ordered = np.take_along_axis(threes, order, axis=1)
+        again = np.zeros(threes.shape, dtype=bool)
+        np.put_along_axis(again, order[:, 1:], ordered[:, 1:] == ordered[:, :-1], axis=1)
+        known[:, 2:] |= again
+    return known
+
+
+def _features_together(s: np.ndarray) -> np.ndarray:
+    """``features``, without the length in bytes and whether there was more, of values of one length, a row of code points each."""
+    m, n = s.shape
+    own = Counts(s)
+    kinds = CLASS_OF[np.minimum(s, 0x80)]
+    by_kind = np.stack([(kinds == k).sum(axis=1) for k in range(6)])
+    d, most = own.added(np.ones(own.row.size)), np.zeros(m, dtype=np.int64)
+    np.maximum.at(most, own.row, own.count)
+    h, low = own.entropies()
+    alphabet = (SIZES[:, None] * (by_kind[:5] > 0)).sum(axis=0) + own.added(own.symbol >= 0x80)
+    beside = s[:, 1:] == s[:, :-1]
+    run = np.ones(m, dtype=np.int64)
+    longest = run.copy()
+    for i in range(n - 1):
+        run = np.where(beside[:, i], run + 1, 1)
+        np.maximum(longest, run, out=longest)
+    twos = np.sort((s[:, :-1] << 21) | s[:, 1:], axis=1)
+    repeated = (twos[:, 1:] == twos[:, :-1]).sum(axis=1)
+    period, best, lag = (np.zeros(m, dtype=np.int64) for _ in range(3))
+    for k in range(1, n // 2 + 1):
+        same = (s[:, k:] == s[:, :-k]).sum(axis=1)
+        period = np.where((period == 0) & (same == n - k), k, period)
+        if 2 <= k <= MOST_LAG:
+            share = 1000 * same // (n - k)
+            lag, best = np.where(share > best, k, lag), np.maximum(share, best)
+    rest = Counts(np.where(_known(s), -1, s))
+    even = lambda x: np.full(m, x, dtype=np.int64)
+    return np.stack([
+        even(n), d, most, h, low, n * h, *by_kind, (by_kind > 0).sum(axis=0), (kinds[:, 1:] != kinds[:, :-1]).sum(axis=1), alphabet,
+        np.where(d >= 2, np.minimum(1000, _permilles(h, LOG2[d])), 0), np.where(alphabet >= 2, np.minimum(1000, _permilles(h, LOG2[alphabet])), 0), 1000 * d // n, even(permille(n, MOST_SYMBOLS)), longest,
+        _permilles(beside.sum(axis=1), even(n - 1)), _permilles(repeated, even(n - 1)), period, best, lag, rest.added(rest.count), *rest.entropies(),
+    ], axis=1)
+
+
+def features_of(values: list[str]) -> np.ndarray:
+    """``features`` of many values, a row each: those of one length are worked out together."""
+    out = np.empty((len(values), len(FEATURES)), dtype=np.int64)
+    groups: dict[int, list[int]] = {}
+    for i, v in enumerate(values):
+        groups.setdefault(min(len(v), MOST_SYMBOLS), []).append(i)
+    for n, group in groups.items():
+        if n == 0 or len(group) < LEAST_TOGETHER:
+            for i in group:
+                out[i] = features(values[i])
+            continue
+        step = max(1, TOGETHER // n)
+        for first in range(0, len(group), step):
+            part = group[first : first + step]
+            text = "".join([values[i][:n] for i in part])
+            s = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64).reshape(len(part), n)
+            made = _features_together(s)
+            out[part, 0] = [len(values[i].encode()) for i in part]
+            out[part, 1] = made[:, 0]
+            out[part, 2] = [len(values[i]) > MOST_SYMBOLS for i in part]
+            out[part, 3:] = made[:, 1:]
+    return out
+
+
 def features_column(value: Column) -> Column:
     """A struct of the features."""
 
     @F.pandas_udf("struct<" + ", ".join(f"{name}: long" for name in FEATURES) + ">")
     def run(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([features(v or "") for v in values], columns=FEATURES)
+        return pd.DataFrame(features_of([v or "" for v in values]), columns=FEATURES)
 
     return run(value)
 

@@ -32,6 +32,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Keys whose texts a task makes and works on in Python.
+TASK_KEYS = 100_000
+
+
+def _keys(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of keys for work in Python, dealt out evenly: a split is whole row groups, which can hold millions of keys."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_KEYS)))
+
+
 def _add(name: str, query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql:
@@ -78,7 +88,7 @@ def _group_text(group: list[Detector]) -> str:
 
 def _group_query(group: list[Detector]):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        texts = _read(spark, sf_dir, "orders", "o_orderkey").withColumn("text", F.expr(_group_text(group)))
+        texts = _keys(spark, sf_dir, "orders", "o_orderkey").withColumn("text", F.expr(_group_text(group)))
         found = scan(texts, config=ScanConfig(include=tuple(d.id for d in group)))
         return explode_findings(found, "o_orderkey").select("o_orderkey", "type", "detector", "confidence", "specificity", "action", "start", "end")
 
@@ -205,7 +215,7 @@ def _structured_text(group: dict) -> str:
 
 
 def _structured(spark: SparkSession, sf_dir: str, group: dict = STRUCTURED) -> DataFrame:
-    return _read(spark, sf_dir, "orders", "o_orderkey").withColumn("text", F.expr(_structured_text(group)))
+    return _keys(spark, sf_dir, "orders", "o_orderkey").withColumn("text", F.expr(_structured_text(group)))
 
 
 def _structured_sql(columns: str, group: dict = STRUCTURED) -> str:
@@ -308,7 +318,7 @@ _add(
 RULESET = 'ruleset-revision: 1\ndetector: acme-internal-token\nspecificity: entropy\nprefix: "acme_"\nalphabet: lower-hex\nrun: exact 24\nvalidator: trailing-lower-hex\nnames: ambiguous\nname: token\n'
 _add(
     "ruleset_values",
-    lambda spark, d: explode_findings(scan(_read(spark, d, "orders", "o_orderkey").withColumn("text", F.expr(f"concat('a acme_', {hexes(24)}, CASE WHEN o_orderkey % 5 = 0 THEN 'b' ELSE ' b' END)")), config=ScanConfig(ruleset=RULESET)), "o_orderkey").select("o_orderkey", "type", "confidence", "action", "start", "end"),
+    lambda spark, d: explode_findings(scan(_keys(spark, d, "orders", "o_orderkey").withColumn("text", F.expr(f"concat('a acme_', {hexes(24)}, CASE WHEN o_orderkey % 5 = 0 THEN 'b' ELSE ' b' END)")), config=ScanConfig(ruleset=RULESET)), "o_orderkey").select("o_orderkey", "type", "confidence", "action", "start", "end"),
     "SELECT o_orderkey, 'acme-internal-token' AS type, 'medium' AS confidence, 'warn' AS action, 2 AS start, 31 AS \"end\" FROM orders WHERE o_orderkey % 5 <> 0",
 )
 _add(
@@ -391,7 +401,7 @@ _PII_TEXT = (
 )
 _add(
     "pii_sensitive",
-    lambda spark, d: scan_and_redact(_read(spark, d, "orders", "o_orderkey").withColumn("text", F.expr(_PII_TEXT)), config=ScanConfig(profile="common", pii=("pii:us",)), typed=True).select("o_orderkey", "text"),
+    lambda spark, d: scan_and_redact(_keys(spark, d, "orders", "o_orderkey").withColumn("text", F.expr(_PII_TEXT)), config=ScanConfig(profile="common", pii=("pii:us",)), typed=True).select("o_orderkey", "text"),
     "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'ssn: <PII_JURISDICTION_US_SSN_1>' WHEN 1 THEN 'client ip = <PII_GLOBAL_NETWORK_ADDRESS_1>' WHEN 2 THEN 'email: <PII_GLOBAL_EMAIL_1>' WHEN 3 THEN concat('note 219-09-', lpad(cast(o_orderkey % 9000 + 1000 as string), 4, '0')) ELSE 'phone: <PII_GLOBAL_PHONE_1>' END AS text FROM orders",
 )
 
@@ -431,7 +441,7 @@ _add(
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = _read(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.expr(f"concat('Aa-', {hexes(32)})").alias("v"))
+    values = _keys(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", F.expr(f"concat('Aa-', {hexes(32)})").alias("v"))
     f = values.select("o_orderkey", evidence.features_column(F.col("v")).alias("f"))
     return f.select("o_orderkey", *[F.col(f"f.{c}").alias(c) for c in ("byte_len", "distinct_symbols", "class_lower", "class_digit", "class_count", "longest_run", "adjacent_repeat_permille")])
 
@@ -498,7 +508,7 @@ _add("stream_sessions", _streams, "SELECT c_custkey::VARCHAR AS stream_id, conca
 _NESTED = f"concat('{{\"api_key\": \"', {hexes(32, 'c_custkey')}, '\", \"list\": [\"n ', cast(c_custkey as string), '\", null]}}')"
 _add(
     "nested_values",
-    lambda spark, d: _read(spark, d, "customer", "c_custkey").select("c_custkey", sanitize_json(F.expr(_NESTED)).alias("s")).select("c_custkey", "s.outcome", "s.value", "s.findings"),
+    lambda spark, d: _keys(spark, d, "customer", "c_custkey").select("c_custkey", sanitize_json(F.expr(_NESTED)).alias("s")).select("c_custkey", "s.outcome", "s.value", "s.findings"),
     "SELECT c_custkey, 'ok' AS outcome, concat('{\"api_key\": \"<SECRET_1>\", \"list\": [\"n ', cast(c_custkey as string), '\", null]}') AS value, 1 AS findings FROM customer",
 )
 
