@@ -24,8 +24,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise: a worker holds a batch several
+#: times over, as Arrow and as strings, and an executor has a worker for each core.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":  # Spark's default
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """Columns of a table. A small one is a single split: its rows are dealt out, so that all cores take part."""
+    _small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     df = df.select(*columns) if columns else df
     cores = spark.sparkContext.defaultParallelism

@@ -1,10 +1,12 @@
-"""Work on keys in Python: dealt out evenly whatever the files are like, and evidence of many values at once."""
+"""Work in Python: keys dealt out evenly whatever the files are like, evidence of many values at once, batches bounded by bytes."""
 
 import hashlib
 import random
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from saltmarsh.operators import evidence
 from saltmarsh.plans import catalog
@@ -31,3 +33,23 @@ def test_keys_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
     assert len(sizes) == 20 and max(sizes) <= 1010
     found = {r["o_orderkey"]: r["distinct_symbols"] for r in values.collect()}
     assert found == {k: len({*"Aa-", *hashlib.md5(f"0-{k}".encode()).hexdigest()}) for k in keys}
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 16
+    before = spark.conf.get(key)
+    monkeypatch.setattr(catalog, "BATCH_BYTES", most)
+    pq.write_table(pa.table({"doc_id": pa.array(range(1600), pa.int64()), "text": ["mail me at joe@mail-host.dev " * 70] * 1600}), tmp_path / "documents.parquet")
+
+    @F.pandas_udf("long")
+    def bytes_together(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    try:
+        spark.conf.unset(key)
+        texts = catalog._read(spark, str(tmp_path), "documents", "doc_id", "text")
+        assert texts.select(bytes_together("text").alias("n")).agg(F.max("n")).first()[0] <= 2 * most
+        found = catalog.queries()["pii_identity_addresses"](spark, str(tmp_path)).collect()
+        assert {(r["family"], r["n"]) for r in found} == {("email", 70)} and len(found) == 1600
+    finally:
+        spark.conf.set(key, before)
