@@ -37,14 +37,24 @@ BYTE_SIGNS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-def shown_word(chunk: bytes) -> str | None:
-    """A chunk of Latin letters only, lower-cased, as the vocabulary writes it; None for others."""
-    if chunk.isalpha():
-        return chunk.decode() if chunk.islower() else None
-    if chunk.isascii():
-        return None
-    word = chunk.decode().lower()
-    return word.encode().decode("latin-1").translate(BYTE_SIGNS) if word.isalpha() and max(word) < LATIN_END else None
+#: Bytes of letters beyond ASCII that byte-level vocabularies don't write as themselves.
+_MOVED = [(chr(b), chr(sign)) for b, sign in BYTE_SIGNS.items() if b > 127]
+BEYOND = re.compile(f"[{LATIN_END}-\U0010ffff]")
+
+
+def shown_words(chunks: list[bytes]) -> list[str | None]:
+    """Chunks of Latin letters only, lower-cased, as the vocabulary writes them; None for others. None holds ASCII white space."""
+    out = [c.decode() if c.isalpha() and c.islower() else None for c in chunks]
+    odd = [i for i, c in enumerate(chunks) if not c.isascii()]
+    if odd:
+        words = b" ".join([chunks[i] for i in odd]).decode().lower()
+        signs, latin = words.encode().decode("latin-1"), not BEYOND.search(words)
+        for byte, sign in _MOVED:
+            signs = signs.replace(byte, sign)
+        for i, word, shown in zip(odd, words.split(" "), signs.split(" "), strict=True):
+            if word.isalpha() and (latin or not BEYOND.search(word)):
+                out[i] = shown
+    return out
 
 
 BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
@@ -126,10 +136,10 @@ class ChunkTokenizer:
 
     def _learn(self, unknown: set[bytes]) -> None:
         ended, rest = [], {}
-        for c in self._recall(unknown):
-            # signs after a word are a token of their own, or several
-            word = c.rstrip(SIGNS)
-            shown = shown_word(word) if word else None
+        chunks = self._recall(unknown)
+        # signs after a word are a token of their own, or several
+        words = [c.rstrip(SIGNS) for c in chunks]
+        for c, word, shown in zip(chunks, words, shown_words(words), strict=True):
             if shown is None:
                 rest[c] = None
                 continue
