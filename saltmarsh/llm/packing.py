@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from saltmarsh.llm.scratch import materialize
-from saltmarsh.llm.tokens import in_portions, tokenizer
+from saltmarsh.llm.tokens import in_lots, tokenizer
 from saltmarsh.llm.worker import small_batches, task
 
 #: Pieces of one length are numbered in groups of about 1 in so many of all pieces, so
@@ -157,16 +157,14 @@ def _cutter(path: str, capacity: int, end_id: int):
         import pyarrow as pa
 
         end, step = int(end_id).to_bytes(4, "little"), 4 * capacity
-        for batch in batches:
-            known, ids = tokenizer(path), batch.column("_id").to_pylist()
-            for portion in in_portions(batch.column("_text")):
-                rows = []
-                for (i, _), data in zip(portion, known.ids([d for _, d in portion]), strict=True):
-                    data += end
-                    rows += [(ids[i], k, at // 4, min(step, len(data) - at) // 4, zlib.crc32(data[at : at + step])) for k, at in enumerate(range(0, len(data), step))]
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for docs, texts in in_lots(batches, "_id", "_text"):
+            rows = []
+            for doc, data in zip(docs, tokenizer(path).ids(texts), strict=True):
+                data += end
+                rows += [(doc, k, at // 4, min(step, len(data) - at) // 4, zlib.crc32(data[at : at + step])) for k, at in enumerate(range(0, len(data), step))]
+            columns = list(zip(*rows, strict=True))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return cut
 

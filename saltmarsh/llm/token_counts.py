@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from saltmarsh.llm.scratch import _path, materialize
 from saltmarsh.llm.skew import filter_of, join_group, maybe_member
-from saltmarsh.llm.tokens import in_portions, tokenizer, version_of
+from saltmarsh.llm.tokens import in_lots, tokenizer, version_of
 from saltmarsh.llm.worker import small_batches, task
 
 CACHE = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -34,12 +34,9 @@ def _encoder(path: str):
     def encode(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            known = tokenizer(path)
-            counts = []
-            for portion in in_portions(batch.column("_content")):
-                counts += [len(ids) // 4 for ids in known.ids([data for _, data in portion])]
-            yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array(counts, pa.int64())], ["content_digest", "n_tokens"])
+        for digests, texts in in_lots(batches, "content_digest", "_content"):
+            counts = [len(ids) // 4 for ids in tokenizer(path).ids(texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], ["content_digest", "n_tokens"])
 
     return encode
 
